@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality
+from . import exact_dedup, licenses, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_license_scan": licenses.op6_license_scan,
     }
 
 
