@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, packing, quality
+from . import bpe, exact_dedup, licenses, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_license_scan": licenses.op6_license_scan,
+        "op9_byte_bpe": bpe.op9_byte_bpe,
     }
 
 
