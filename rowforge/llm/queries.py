@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, licenses, packing, quality
+from . import bpe, exact_dedup, langid, licenses, packing, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_license_scan": licenses.op6_license_scan,
+        "op7_warc_chunks": warc.op7_warc_chunks,
         "op8_language_id": langid.op8_language_id,
         "op9_byte_bpe": bpe.op9_byte_bpe,
     }
@@ -23,4 +24,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": exact_dedup.SQL,
+        "op7_warc_chunks": warc.SQL,
     }
