@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, licenses, packing, quality, repeats, topk, warc
+from . import bpe, exact_dedup, jaccard, langid, licenses, packing, quality, repeats, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_topk": topk.op1_exact_topk,
         "op10_suffix_array_dedup": repeats.op10_suffix_array_dedup,
+        "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
@@ -27,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_topk": topk.SQL,
         "op10_suffix_array_dedup": repeats.SQL,
+        "op2_ngram_jaccard_join": jaccard.SQL,
         "op5_exact_dedup": exact_dedup.SQL,
         "op7_warc_chunks": warc.SQL,
     }
