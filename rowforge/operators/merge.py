@@ -33,10 +33,8 @@ def upsert(existing: Column, t: T.DataType, new: Column, overwrite: bool) -> Col
     return F.when(kept, existing).otherwise(new)
 
 
-def final_table(frame: DataFrame, columns: list[str], steps: list[Any], order: list[str], at: dict[str, str], overwrite: bool) -> DataFrame:
+def final_columns(frame: DataFrame, columns: list[str], steps: list[Any], order: list[str], at: dict[str, str], overwrite: bool) -> list[Column]:
     """The input's columns with the steps' fields put in, new fields after them; fields that begin with __ stay inside."""
     made = {f: step_value([(n, at[n]) for n in names], f) for f, names in producers(steps, order).items() if not f.startswith("__")}
     out = [upsert(F.col(f"`{c}`"), frame.schema[c].dataType, made[c], overwrite).alias(c) if c in made else F.col(f"`{c}`") for c in columns]
-    return frame.select(*out, *[v.alias(f) for f, v in made.items() if f not in columns])
-
-
+    return [*out, *[v.alias(f) for f, v in made.items() if f not in columns]]

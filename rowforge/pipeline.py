@@ -30,7 +30,7 @@ from .functions.text import cache_key, row_json
 from .functions.validate import canonical
 from .hooks import EnrichmentHooks, PipelineEndEvent, PipelineStartEvent, RowAttemptEvent, RowCompleteEvent, StepEndEvent, StepStartEvent
 from .operators.kernel import Kernel, failure, one, step_type
-from .operators.merge import final_table, step_value
+from .operators.merge import final_columns, step_value
 from .operators.steps import ExprStep, LLMStep, StepContext
 from .plans import dag
 from .sources.cache import CacheTable
@@ -49,6 +49,7 @@ class PipelineResult:
 
     data: DataFrame
     frame: DataFrame
+    columns: list[Column]  # those of data, over the frame
     steps: dict[str, str]  # each step's column in the frame
     cost: CostSummary
     num_rows: int
@@ -258,8 +259,8 @@ class _Run:
         try:
             frame = self.execute(frame, total, store, fields, logger, display_key)
             cost = self.usage(frame)
-            data = final_table(frame, self.input, self.p._steps, names, self.col, self.config.overwrite_fields or listed)
-            result = PipelineResult(data, frame, dict(self.col), cost, total, time.monotonic() - began, dict(self.elapsed), specs, logger.run_id if logger else "", row_key, self.work)
+            columns = final_columns(frame, self.input, self.p._steps, names, self.col, self.config.overwrite_fields or listed)
+            result = PipelineResult(frame.select(*columns), frame, columns, dict(self.col), cost, total, time.monotonic() - began, dict(self.elapsed), specs, logger.run_id if logger else "", row_key, self.work)
             if store and not result.has_errors:
                 store.clear()
             return result
