@@ -488,7 +488,7 @@ class _Run:
         res = F.col(c)
         shared = F.struct(res["values"].alias("values"), res["present"].alias("present"), res["status"].alias("status"), (res["status"] == "ok").alias("from_cache"), res["error"].alias("error"), *[null(x) for x in ("usage", "attempts", "elapsed_ms")])
         gated_as = F.col(gate)
-        own_gate = F.struct(F.struct(*[F.from_json(gated_as["values"][f], t.simpleString()).alias(f) if not isinstance(t, T.StringType) else gated_as["values"][f].alias(f) for f, t in zip(values.names, [x.dataType for x in values]) if f in step.fields], *[F.lit(None).cast(values[f].dataType).alias(f) for f in values.names if f not in step.fields]).alias("values"), gated_as["present"].alias("present"), gated_as["status"].alias("status"), F.lit(False).alias("from_cache"), gated_as["error"].alias("error"), *[null(x) for x in ("usage", "attempts", "elapsed_ms")])
+        own_gate = F.struct(F.struct(*[F.variant_get(F.try_parse_json(gated_as["values"][f]), "$", t.simpleString()).alias(f) if not isinstance(t, T.StringType) else gated_as["values"][f].alias(f) for f, t in zip(values.names, [x.dataType for x in values]) if f in step.fields], *[F.lit(None).cast(values[f].dataType).alias(f) for f in values.names if f not in step.fields]).alias("values"), gated_as["present"].alias("present"), gated_as["status"].alias("status"), F.lit(False).alias("from_cache"), gated_as["error"].alias("error"), *[null(x) for x in ("usage", "attempts", "elapsed_ms")])
         joined = looked.join(made, key, "left")
         cell = F.when(gated_as.isNotNull(), own_gate).when(F.col(hit).isNotNull(), from_hit).when(F.col(ROW) == F.col("__rf_first"), res).otherwise(shared)
         return self.settle(joined.select(*[F.col(f"`{x}`") for x in frame.columns], cell.alias(c)), [step.name])
