@@ -12,4 +12,4 @@ from rowforge.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "tests")
+    return local_session(4, "tests", spark__sql__shuffle__partitions="4")
