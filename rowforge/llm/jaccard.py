@@ -1,16 +1,20 @@
 """N-gram Jaccard join by T-occurrence search.
 
-Rows with one set of n-grams are one set, known by its hash. If two sets reach the threshold t, each shares at least
+Rows of one text are one set of n-grams, known by the text's hash. If two sets reach the threshold t, each shares at least
 T = ceil(t |set|) n-grams with the other, so a set with fewer than T n-grams that occur elsewhere has no partner. The
 search is DivideSkip with the lists spread over hash ranges of n-grams:
 
-1. Inverted lists: each set's n-grams go to their hash ranges, where lists of one set are dropped.
-2. Sets gather the lengths of their lists. A set short of T lists drops out. Of the others' lists the L = T - need longest
-   are left for probing, where need = max(1, T - T / (mu log2 M + 1)) and M is the longest's length; lists that hold the
-   set alone count as the shortest. With one order of lists for all sets, a pair then meets ``need`` times in short lists.
-3. The short lists are heap-merged range by range, and pairs that occur in need of them, over all ranges, are candidates.
+1. Inverted lists: one row of each text goes on; its n-grams go to their hash ranges. Sets travel in blocks, and within a
+   block's row a set is two bytes, so what an n-gram costs doesn't grow with the number of ranges.
+2. Blocks gather the lengths of their sets' lists. A set short of T lists drops out. Of the others' lists the L = T - need
+   longest are left for probing, where need = max(1, T - T / (mu log2 M + 1)) and M is the longest's length; lists that hold
+   the set alone count as the shortest. With one order of lists for all sets, a pair then meets ``need`` times in short lists.
+3. The short lists are heap-merged bucket by bucket, and pairs that occur in need of them, over all buckets, are
+   candidates. A list goes to the bucket of its least set, so the lists that a group of near duplicates shares meet in few
+   buckets and its pairs are counted there at once; lists so long that their pairs would burden one task are spread.
 4. Candidates are looked up in the long lists by binary search: in a part of the candidates, a set's long lists are
-   probed in the partner's sorted n-grams. The occurrences in all lists are the overlap, which decides.
+   probed in the partner's sorted n-grams. The occurrences in all lists are the overlap, which decides. A pair's part is the
+   bucket where it was found, so a set is sent to few parts.
 """
 
 from __future__ import annotations
@@ -21,43 +25,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Words, Workspace, buckets, fresh, grams, row_order, slices
+from .common import U64, Words, Workspace, buckets, content_key, fresh, grams, row_order, slices, spread
 
 N, THRESHOLD, MU = 3, 0.5, 0.01
 _FLUSH = 6 << 20  # n-grams
 _PAIRS = 1 << 20
+_SPREAD = 20  # bits of the squared length from which a list's bucket depends on the n-gram too
+_BLOCK = 1024  # sets of one group whose pairs are verified together
 
 
-def sets(texts: pa.Array, n: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted distinct n-gram hashes of each text, and the hash of each such set; of texts without words, empty and 0."""
+def sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct 48-bit n-gram hashes of each text, none for a text without words."""
     h, off = grams(Words(texts), n)
-    out, ids = [], np.zeros(len(off) - 1, np.int64)
-    for i, (a, b) in enumerate(zip(off, off[1:])):
-        own = np.unique(h[a:b])
-        out.append(own)
-        if len(own):
-            ids[i] = np.array(xxhash.xxh3_64_intdigest(own.tobytes()), U64).astype(np.int64)
-    return out, ids
+    h = h >> U64(16)
+    return [np.unique(h[a:b]) for a, b in zip(off, off[1:])]
 
 
-def set_ids(docs: DataFrame, text: str, n: int, name: str) -> DataFrame:
-    """docs with the hash of each row's set in a new column, null for texts without words."""
-    schema = docs.withColumn(name, F.lit(None).cast("long")).schema
-    at = docs.columns.index(text)
+def squeeze(gram: np.ndarray) -> bytes:
+    """Six bytes an n-gram."""
+    return gram.astype(np.uint32).tobytes() + (gram >> U64(32)).astype(np.uint16).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b, at):
-                own, ids = sets(part.column(at), n)
-                none = np.array([not len(x) for x in own], bool)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, mask=none)], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+def unsqueeze(data: pa.Buffer | bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint16, n, 4 * n).astype(U64) << U64(32) | np.frombuffer(data, np.uint32, n)
 
 
 def required(size: np.ndarray, t: float) -> np.ndarray:
@@ -66,108 +62,130 @@ def required(size: np.ndarray, t: float) -> np.ndarray:
 
 
 def postings(batches: Iterator[pa.RecordBatch], n: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """The sets' n-grams, 48 bits each, by hash range."""
-    held: list[tuple[np.ndarray, int]] = []
+    """Blocks of the sets of (text hash, text): by hash range, the n-grams of each set after another. One range gets the sets' names and sizes too."""
+    held: list[np.ndarray] = []
+    names: list[int] = []
+    seen: set[int] = set()
+    base, count = TaskContext.get().partitionId() << 20, 0
 
     def flush() -> pa.RecordBatch:
-        size = np.array([len(s) for s, _ in held])
-        gram = np.concatenate([s for s, _ in held]) >> U64(16)
-        own = np.repeat(np.arange(len(held), dtype=np.uint32), size)
-        ids = np.array([i for _, i in held], np.int64)
-        bucket = (gram % U64(ranges)).astype(np.uint32)
-        order = np.lexsort((gram, bucket))
+        nonlocal base
+        size = np.array([len(x) for x in held], np.int64)
+        gram = np.concatenate(held)
+        own = np.repeat(np.arange(len(held), dtype=np.uint16), size)
+        bucket = (gram % U64(ranges)).astype(route_kind(ranges))
+        order = np.argsort(bucket, kind="stable")
         gram, own, bucket = gram[order], own[order], bucket[order]
-        cut = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket))
-        rows = []
-        for a, b in zip(cut, cut[1:]):
-            used, back = np.unique(own[a:b], return_inverse=True)
-            g = gram[a:b]
-            rows.append((int(bucket[a]), (g >> U64(32)).astype(np.uint16).tobytes(), g.astype(np.uint32).tobytes(), back.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), ids[used].tobytes(), size[used].astype(np.int32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["bucket", "high", "low", "own", "ids", "sizes"])
+        edge = np.searchsorted(bucket, np.arange(ranges + 1))
+        main, rows = base % ranges, []
+        for i in range(ranges):
+            a, b = edge[i], edge[i + 1]
+            if a == b and i != main:
+                continue
+            used, many = np.unique(own[a:b], return_counts=True)
+            facts = (np.array(names, np.int64).tobytes(), size.astype(np.int32).tobytes()) if i == main else (b"", b"")
+            rows.append((i, base, squeeze(gram[a:b]), used.tobytes(), narrow(many), *facts))
+        base += 1
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 5))], _POSTED)
 
-    seen: set[int] = set()
-    count = 0
     for b in batches:
-        for part in slices(b, 0):
-            for s, i in zip(*sets(part.column(0), n)):
-                if len(s) and i not in seen:  # copies in one flush go once
-                    seen.add(i)
-                    held.append((s, i))
-                    count += len(s)
-                    if count >= _FLUSH:
+        for part in slices(b, 1):
+            for h, x in zip(part.column(0).to_pylist(), sets(part.column(1), n)):
+                if len(x) and h not in seen:
+                    if held and (count + len(x) > _FLUSH or len(held) == 1 << 16):
                         yield flush()
                         held.clear()
+                        names.clear()
                         seen.clear()
                         count = 0
+                    seen.add(h)
+                    held.append(x)
+                    names.append(h)
+                    count += len(x)
     if held:
         yield flush()
 
 
+_POSTED = ["bucket", "block", "grams", "own", "counts", "names", "sizes"]
+_LISTS = ["block", "grams", "own", "counts", "lengths", "routes", "names", "sizes"]
+
+
+def narrow(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def widen(counts: pa.Buffer, own: np.ndarray) -> np.ndarray:
+    return np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(own) else np.uint32).astype(np.int64)
+
+
 def inverted(batches: list[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Of a hash range: its lists of two sets or more, as (n-gram, list length) by set, packed by part of the sets."""
-    gram, ids, size = [], [], []
+    """Of a hash range: its lists of two sets or more, as (n-gram, list length, bucket) by set, block by block."""
+    gram, code, facts = [], [], {}
     for b in batches:
         for i in range(b.num_rows):
-            high, low, own, names, sizes = (b.column(c)[i].as_buffer() for c in range(1, 6))
-            names, sizes = np.frombuffer(names, np.int64), np.frombuffer(sizes, np.int32)
-            own = np.frombuffer(own, np.uint32 if len(names) > 65535 else np.uint16)
-            gram.append(np.frombuffer(high, np.uint16).astype(U64) << U64(32) | np.frombuffer(low, np.uint32))
-            ids.append(names[own])
-            size.append(sizes[own])
-    gram, ids, size = np.concatenate(gram), np.concatenate(ids), np.concatenate(size)
+            block = b.column(1)[i].as_py()
+            g, own, counts, names, sizes = (b.column(c)[i].as_buffer() for c in range(2, 7))
+            own = np.frombuffer(own, np.uint16)
+            gram.append(unsqueeze(g))
+            code.append(np.repeat(own.astype(np.int64) | block << 16, widen(counts, own)))
+            if len(names):
+                facts[block] = (names.to_pybytes(), sizes.to_pybytes())
+    gram, code = np.concatenate(gram), np.concatenate(code)
     order = np.argsort(gram, kind="stable")
     gram = gram[order]
     equal = gram[1:] == gram[:-1]
-    shared = np.append(equal, False) | np.append(False, equal)
-    order = order[shared]
-    gram, ids, size = gram[shared], ids[order], size[order]
-    order = np.lexsort((ids, gram))
-    gram, ids, size = gram[order], ids[order], size[order]
-    once = np.append(True, (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1]))[: len(gram)]  # copies from several tasks
-    gram, ids, size = gram[once], ids[once], size[once]
-    head = np.append(True, gram[1:] != gram[:-1])[: len(gram)]
-    group = np.cumsum(head) - 1
-    length = np.bincount(group)[group] if len(gram) else np.zeros(0, np.int64)
-    more = length > 1
-    gram, ids, size, length = gram[more], ids[more], size[more], length[more]
-    part = (ids.view(U64) % U64(parts)).astype(np.int64)
-    order = np.lexsort((gram, ids, part))
-    gram, ids, size, length, part = gram[order], ids[order], size[order], length[order], part[order]
-    cut = np.append(np.flatnonzero(np.append(True, np.diff(part) != 0)), len(part)) if len(part) else [0]
+    shared = (np.append(equal, False) | np.append(False, equal))[: len(gram)]
+    gram, code = gram[shared], code[order[shared]]
+    head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+    many = np.diff(np.append(head, len(gram)))
+    least = np.minimum.reduceat(code, head) if len(gram) else code
+    wide = np.clip(many * many >> _SPREAD, 1, parts).astype(U64)
+    route = (spread(least.view(U64) * U64(0x9E3779B97F4A7C15) + gram[head] % wide) % U64(parts)).astype(route_kind(parts))
+    route, length = np.repeat(route, many), np.repeat(np.minimum(many, 65535).astype(np.uint16), many)
+    order = np.lexsort((gram, code))
+    gram, code, route, length = gram[order], code[order], route[order], length[order]
+    block = code >> 16
+    cut = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else [0]
+    rows = []
     for a, b in zip(cut, cut[1:]):
-        used, first, many = np.unique(ids[a:b], return_index=True, return_counts=True)
-        order = np.argsort(first)
-        used, first, many = used[order], first[order], many[order]
-        cols = [used.tobytes(), size[a:b][first].astype(np.int32).tobytes(), many.astype(np.int32).tobytes(), gram[a:b].tobytes(), length[a:b].astype(np.int32).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], ["part", "ids", "sizes", "counts", "grams", "lengths"])
+        used, counts = np.unique(code[a:b] & 65535, return_counts=True)
+        rows.append((int(block[a]), squeeze(gram[a:b]), used.astype(np.uint16).tobytes(), narrow(counts), length[a:b].tobytes(), route[a:b].tobytes(), *facts.pop(int(block[a]), (b"", b""))))
+    rows += [(block, b"", b"", b"", b"", b"", *f) for block, f in facts.items()]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 7))], _LISTS)
+
 
+def route_kind(parts: int) -> type:
+    return np.uint16 if parts <= 1 << 16 else np.uint32
 
-def divide(batches: list[pa.RecordBatch], t: float, mu: float) -> Iterator[pa.RecordBatch]:
-    """Of a part of the sets: those with T shared n-grams, their shared n-grams in order, the short lists among them, and need."""
-    ids, size, gram, length = [], [], [], []
+
+def divide(batches: list[pa.RecordBatch], t: float, mu: float, parts: int) -> Iterator[pa.RecordBatch]:
+    """Of a block: all its sets with their sizes; those with T shared n-grams also with these in order, the short lists among them with their buckets, and need."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+    names = size = np.zeros(0, np.int64)
     for b in batches:
         for i in range(b.num_rows):
-            n, s, c, g, l = (np.frombuffer(b.column(k + 1)[i].as_buffer(), kind) for k, kind in enumerate((np.int64, np.int32, np.int32, U64, np.int32)))  # noqa: E741
-            ids.append(np.repeat(n, c))
-            size.append(np.repeat(s, c))
-            gram.append(g)
-            length.append(l)
-    ids, size, gram, length = (np.concatenate(x) for x in (ids, size, gram, length))
-    order = np.lexsort((gram, length, ids))
-    ids, size, gram, length = ids[order], size[order], gram[order], length[order]
-    cut = np.append(np.flatnonzero(np.append(True, np.diff(ids) != 0)), len(ids)) if len(ids) else np.zeros(1, np.int64)
-    head, many = cut[:-1], np.diff(cut)
-    least = required(size[head], t)
+            g, own, counts, lengths, routes, said, sizes = (b.column(c)[i].as_buffer() for c in range(1, 8))
+            own = np.frombuffer(own, np.uint16)
+            for col, v in zip(cols, (np.repeat(own, widen(counts, own)), unsqueeze(g), np.frombuffer(lengths, np.uint16), np.frombuffer(routes, route_kind(parts)))):
+                col.append(v)
+            if len(said):
+                names, size = np.frombuffer(said, np.int64), np.frombuffer(sizes, np.int32)
+    own, gram, length, route = (np.concatenate(x) for x in cols)
+    order = np.lexsort((gram, length, own))
+    own, gram, length, route = own[order], gram[order], length[order], route[order]
+    edge = np.searchsorted(own, np.arange(len(names) + 1))
     rows, weight = [], 0
-    for a, m, s, need_all in zip(head, many, size[head], least):
-        if m < need_all:
+    for i, (name, s, need_all) in enumerate(zip(names.tolist(), size.tolist(), required(size, t).tolist())):
+        a, b = edge[i], edge[i + 1]
+        if b - a < need_all:
+            rows.append((name, s, None, None, None, None))
             continue
-        longest = int(length[a + m - 1])
-        long = min(int(need_all) - 1, int(need_all / (mu * math.log2(longest) + 1)))
-        need = int(need_all) - long
-        own = gram[a : a + m]
-        rows.append((int(ids[a]), int(s), need, np.sort(own).tobytes(), own[: m - long].tobytes()))
-        weight += 16 * int(m)
+        longest = int(length[b - 1])
+        long = min(need_all - 1, int(need_all / (mu * math.log2(longest) + 1)))
+        mine = gram[a:b]
+        rows.append((name, s, need_all - long, squeeze(np.sort(mine)), squeeze(mine[: len(mine) - long]), route[a : b - long].tobytes()))
+        weight += 16 * int(b - a)
         if weight > 8 << 20:
             yield _divided(rows)
             rows, weight = [], 0
@@ -175,70 +193,123 @@ def divide(batches: list[pa.RecordBatch], t: float, mu: float) -> Iterator[pa.Re
 
 
 def _divided(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], ["id", "size", "need", "grams", "short"])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], ["id", "size", "need", "grams", "short", "routes"])
 
 
-def short_lists(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """The sets' short lists by hash range again."""
+def short_lists(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The sets' short lists by bucket, each with its sets' sizes and needs once."""
     for b in batches:
-        at = np.array([len(x) // 8 for x in b.column(4).to_pylist()], np.int64)
-        gram = np.frombuffer(b"".join(b.column(4).to_pylist()), U64)
+        short = [unsqueeze(x) for x in b.column(4).to_pylist()]
+        at = np.array([len(x) for x in short], np.int64)
+        gram = np.concatenate(short) if short else np.zeros(0, U64)
         if not len(gram):
             continue
-        ids, size, need = (np.repeat(b.column(c).to_numpy(), at) for c in range(3))
-        bucket = (gram % U64(ranges)).astype(np.int32)
+        bucket = np.frombuffer(b"".join(b.column(5).to_pylist()), route_kind(parts)).astype(np.int32)
+        ids, size, need = (b.column(c).to_numpy() for c in range(3))
+        own = np.repeat(np.arange(b.num_rows), at)
         order = np.lexsort((gram, bucket))
-        gram, ids, size, need, bucket = (x[order] for x in (gram, ids, size, need, bucket))
+        gram, own, bucket = gram[order], own[order], bucket[order]
         cut = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket))
-        rows = [(int(bucket[x]), *(v[x:y].tobytes() for v in (gram, ids, size.astype(np.int32), need.astype(np.int32)))) for x, y in zip(cut, cut[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["bucket", "grams", "ids", "sizes", "needs"])
+        rows = []
+        for x, y in zip(cut, cut[1:]):
+            used, back = np.unique(own[x:y], return_inverse=True)
+            g = gram[x:y]
+            rows.append((int(bucket[x]), squeeze(g), back.astype(np.uint32).tobytes() if len(used) > 65535 else back.astype(np.uint16).tobytes(), ids[used].tobytes(), size[used].astype(np.int32).tobytes(), need[used].astype(np.int32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["bucket", "grams", "own", "ids", "sizes", "needs"])
 
 
-def merge(batches: list[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Of a hash range: pairs of sets in its short lists, with how many lists hold both; sizes out of ratio are left out.
+def _expand(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Ranges start, start + 1, ... of the given lengths, one after another."""
+    return np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
 
-    The sorted arrivals are merged by a heap, so each list comes together without another sort of the range.
-    """
-    parts = [tuple(np.frombuffer(b.column(c + 1)[i].as_buffer(), k) for c, k in enumerate((U64, np.int64, np.int32, np.int32))) for b in batches for i in range(b.num_rows)]
-    gram, ids, size, need = (np.concatenate(x) for x in zip(*parts))
-    starts = np.cumsum([0, *(len(p[0]) for p in parts)])
-    order = np.fromiter((i for _, i in heapq.merge(*(zip(p[0].tolist(), range(s, s + len(p[0]))) for p, s in zip(parts, starts)))), np.int64, len(gram))
-    gram, ids, size, need = gram[order], ids[order], size[order], need[order]
-    cut = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(gram))
-    many = np.diff(cut)
-    left, right, held = [], [], 0
 
-    def flush() -> pa.RecordBatch:
-        a, b = np.concatenate(left), np.concatenate(right)
+def merge(batches: list[pa.RecordBatch], t: float, parts: int) -> Iterator[pa.RecordBatch]:
+    """Of a bucket: pairs of sets in its short lists, with how many lists hold both; sizes out of ratio are left out.
+
+    The arrivals are sorted, so a heap merges their pieces of lists into whole lists. Lists with one least set are taken
+    together: where they have many sets in common, the product of their incidence matrix with itself counts all pairs.
+    """
+    name, pieces, facts = int(batches[0].column(0)[0].as_py()), [], []
+    for b in batches:
+        for i in range(b.num_rows):
+            gram, own, names, size, need = (b.column(c)[i].as_buffer() for c in range(1, 6))
+            names = np.frombuffer(names, np.int64)
+            own = np.frombuffer(own, np.uint32 if len(names) > 65535 else np.uint16)
+            pieces.append((unsqueeze(gram), names[own]))
+            facts.append((names, np.frombuffer(size, np.int32), np.frombuffer(need, np.int32)))
+    known, first = np.unique(np.concatenate([f[0] for f in facts]), return_index=True)  # in order of id
+    size, need = (np.concatenate([f[k] for f in facts])[first].astype(np.int64) for k in (1, 2))
+    base, runs = 0, []
+    for g, _ in pieces:
+        cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        runs.append(zip(g[cut].tolist(), (cut + base).tolist(), np.diff(np.append(cut, len(g))).tolist()))
+        base += len(g)
+    merged = np.array(list(heapq.merge(*runs)), dtype=object).reshape(-1, 3) if len(pieces) > 1 else np.array(list(runs[0]), dtype=object).reshape(-1, 3)
+    begin, many = merged[:, 1].astype(np.int64), merged[:, 2].astype(np.int64)
+    gram = merged[:, 0].astype(U64)
+    own = np.searchsorted(known, np.concatenate([p[1] for p in pieces]))[_expand(begin, many)]
+    head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))  # pieces of one list
+    length = np.add.reduceat(many, head)
+    start = np.cumsum(length) - length
+    least = np.minimum.reduceat(own, start)
+    keep = length > 1
+    order = np.argsort(least[keep], kind="stable")
+    start, length, least = start[keep][order], length[keep][order], least[keep][order]
+    groups = np.append(np.flatnonzero(np.append(True, least[1:] != least[:-1])), len(least)) if len(least) else np.zeros(1, np.int64)
+
+    def out(a: np.ndarray, b: np.ndarray, n: np.ndarray, part: np.ndarray | int) -> pa.RecordBatch:
         fit = np.minimum(size[a], size[b]) >= np.maximum(size[a], size[b]) * t - 1e-9
-        a, b = a[fit], b[fit]
-        swap = ids[a] > ids[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        order = np.lexsort((ids[b], ids[a]))
-        a, b = a[order], b[order]
-        head = np.append(True, (ids[a][1:] != ids[a][:-1]) | (ids[b][1:] != ids[b][:-1]))[: len(a)]
-        first = np.flatnonzero(head)
-        count = np.diff(np.append(first, len(a)))
-        a, b = a[first], b[first]
-        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(count.astype(np.int64)), pa.array(np.minimum(need[a], need[b]))], ["a", "b", "n", "need"])
-
-    for m in np.unique(many[many > 1]):
-        begin = cut[:-1][many == m]
-        x, y = np.triu_indices(int(m), 1)
-        step = max(1, _PAIRS // len(x))
-        for i in range(0, len(begin), step):
-            own = begin[i : i + step]
-            left.append((own[:, None] + x).ravel())
-            right.append((own[:, None] + y).ravel())
-            held += len(left[-1])
-            if held >= _PAIRS:
-                yield flush()
-                left.clear()
-                right.clear()
-                held = 0
-    if held:
-        yield flush()
+        a, b, n = a[fit], b[fit], n[fit]
+        part = np.broadcast_to((name + part) % parts, fit.shape)[fit].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(known[a]), pa.array(known[b]), pa.array(n.astype(np.int64)), pa.array(np.minimum(need[a], need[b]).astype(np.int32)), pa.array(part)], ["a", "b", "n", "need", "part"])
+
+    def count(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        two = a != b  # equal rows are one set
+        a, b = a[two], b[two]
+        pair, n = np.unique(np.minimum(a, b).astype(U64) << U64(32) | np.maximum(a, b).astype(U64), return_counts=True)
+        return out((pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64), n, 0)
+
+    few: list[np.ndarray] = []  # lists whose pairs are made one by one
+    held = 0
+
+    def make() -> Iterator[pa.RecordBatch]:
+        at = np.concatenate(few)
+        weight = length[at] * (length[at] - 1) // 2
+        slot = np.cumsum(weight) // _PAIRS
+        for chunk in np.split(at, np.flatnonzero(np.diff(slot)) + 1):
+            m = length[chunk]
+            where = _expand(start[chunk], m)
+            after = np.repeat(m, m) - 1 - _expand(np.zeros(len(m), np.int64), m)
+            left = np.repeat(where, after)
+            right = left + 1 + _expand(np.zeros(len(after), np.int64), after)
+            yield count(own[left], own[right])
+
+    for x, y in zip(groups, groups[1:]):
+        m = length[x:y]
+        pairs = int((m * (m - 1)).sum()) // 2
+        if y - x > 1 and pairs > 2048:
+            sets_, back = np.unique(own[_expand(start[x:y], m)], return_inverse=True)
+            g = len(sets_)
+            if g * g * (y - x) <= 400 * pairs:
+                held_in = np.zeros((g, y - x), np.float32)
+                held_in[back, np.repeat(np.arange(y - x), m)] = 1
+                step = max(1, (4 * _PAIRS) // g)
+                for i in range(0, g, step):
+                    c = held_in[i : i + step] @ held_in.T
+                    a, b = np.nonzero(c)
+                    good = b > a + i
+                    a, b = a[good], b[good]
+                    yield out(sets_[a + i], sets_[b], c[a, b], (a + i) // _BLOCK)
+                continue
+        few.append(np.arange(x, y))
+        held += pairs
+        if held >= _PAIRS:
+            yield from make()
+            few.clear()
+            held = 0
+    if few:
+        yield from make()
 
 
 def probe(pairs: list[pa.RecordBatch], members: list[pa.RecordBatch], t: float) -> pa.RecordBatch:
@@ -246,7 +317,7 @@ def probe(pairs: list[pa.RecordBatch], members: list[pa.RecordBatch], t: float)
     grams, size = {}, {}
     for b in members:
         for i, s, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            grams[i], size[i] = np.frombuffer(g, U64), s
+            grams[i], size[i] = unsqueeze(g), s
     out = []
     for b in pairs:
         for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -262,37 +333,46 @@ def probe(pairs: list[pa.RecordBatch], members: list[pa.RecordBatch], t: float)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "overlap", "size_a", "size_b"])
 
 
-def set_pairs(docs: DataFrame, work: Workspace, n: int = N, t: float = THRESHOLD, text: str = "text", mu: float = MU) -> DataFrame:
-    """(a, b, overlap, size_a, size_b) for all pairs a < b of different sets, by set hash, whose Jaccard similarity is t or more."""
+def set_pairs(docs: DataFrame, work: Workspace, n: int = N, t: float = THRESHOLD, text: str = "text", mu: float = MU, broadcast_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b, overlap, size_a, size_b), a < b, of different texts, by hash, whose similarity is t or more; sizes (id, size) of all texts with words; copied (id) of texts that occur again.
+
+    One row of each text is searched for, or several that are equal in all columns. The copied texts are broadcast if there are at most ``broadcast_rows``, else joined by a shuffle.
+    """
     if not 0 < t <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
     ranges = buckets(docs.sparkSession)
-    slim = docs.select(F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
+    slim = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("t"), content_key(docs).alias("at")).where("t IS NOT NULL")
+    copied = work.write(slim.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("first")).where("c > 1").select("h", "first"), "copied")
+    if copied.count() <= broadcast_rows:
+        once = slim.join(F.broadcast(copied), "h", "left").where("first IS NULL OR at = first").select("h", "t")
+    else:
+        once = slim.join(copied, "h", "left").where("first IS NULL OR at = first").select("h", "t").sortWithinPartitions("h")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from inverted(list(batches), ranges)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from divide(list(batches), t, mu)
+        yield from divide(list(batches), t, mu, ranges)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from merge(list(batches), t)
-
-    packed = slim.mapInArrow(lambda bs: postings(bs, n, ranges), "bucket int, high binary, low binary, own binary, ids binary, sizes binary")
-    by_set = packed.groupBy("bucket").applyInArrow(lists, "part int, ids binary, sizes binary, counts binary, grams binary, lengths binary")
-    divided = work.write(by_set.groupBy("part").applyInArrow(split, "id long, size int, need int, grams binary, short binary"), "divided")
-    short = divided.mapInArrow(lambda bs: short_lists(bs, ranges), "bucket int, grams binary, ids binary, sizes binary, needs binary")
-    met = short.groupBy("bucket").applyInArrow(pairs, "a long, b long, n long, need int")
-    candidates = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select(F.pmod("a", F.lit(ranges)).cast("int").alias("part"), "a", "b")
+        yield from merge(list(batches), t, ranges)
+
+    packed = once.mapInArrow(lambda bs: postings(bs, n, ranges), "bucket int, block long, " + ", ".join(f"{c} binary" for c in _POSTED[2:]))
+    by_set = packed.groupBy("bucket").applyInArrow(lists, "block long, " + ", ".join(f"{c} binary" for c in _LISTS[1:]))
+    divided = work.write(by_set.groupBy("block").applyInArrow(split, "id long, size int, need int, grams binary, short binary, routes binary"), "divided")
+    searched = divided.where("need IS NOT NULL")
+    short = searched.mapInArrow(lambda bs: short_lists(bs, ranges), "bucket int, grams binary, own binary, ids binary, sizes binary, needs binary")
+    met = short.groupBy("bucket").applyInArrow(pairs, "a long, b long, n long, need int, part int")
+    candidates = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.min("part").alias("part")).where("n >= need").select("part", "a", "b")
     candidates = work.write(candidates, "candidates")
     needed = candidates.select(F.col("part").alias("at"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    members = needed.join(divided.select("id", "size", "grams"), "id").select("at", "id", "size", "grams")
+    members = needed.join(searched.select("id", "size", "grams"), "id").select("at", "id", "size", "grams")
 
     def verify(p: pa.Table, m: pa.Table) -> pa.Table:
         return pa.Table.from_batches([probe(p.to_batches(), m.to_batches(), t)])
 
     found = candidates.groupBy("part").cogroup(members.groupBy("at")).applyInArrow(verify, "a long, b long, overlap long, size_a long, size_b long")
-    return work.write(found, "pairs")
+    return work.write(found, "pairs"), divided.select("id", F.col("size").cast("long").alias("size")), copied.select(F.col("h").alias("id"))
 
 
 def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -304,12 +384,11 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str =
     """
     work = Workspace(docs.sparkSession, "jaccard")
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    pairs = set_pairs(slim, work, n, t)
-    sized = slim.mapInArrow(lambda bs: _doc_sets(bs, n), "doc long, id long, size long")
-    nodes = work.write(sized.where("size > 0"), "nodes")
+    pairs, sizes, copied = set_pairs(slim, work, n, t)
+    nodes = work.write(slim.select("doc", F.xxhash64("text").alias("id")), "nodes")
     a, b = nodes.select(F.col("doc").alias("x"), F.col("id").alias("a")), nodes.select(F.col("doc").alias("y"), F.col("id").alias("b"))
     near = pairs.join(a, "a").join(b, "b").select("x", "y", "overlap", F.col("size_a").alias("n_x"), F.col("size_b").alias("n_y"))
-    copies = nodes.groupBy("id").agg(F.collect_list("doc").alias("docs"), F.min("size").alias("size")).where(F.size("docs") > 1)
+    copies = nodes.join(copied.join(sizes, "id").distinct(), "id").groupBy("id").agg(F.collect_list("doc").alias("docs"), F.min("size").alias("size"))
     copies = copies.select(F.explode("docs").alias("x"), "docs", "size").select("x", F.explode("docs").alias("y"), F.col("size").alias("overlap"), F.col("size").alias("n_x"), F.col("size").alias("n_y"))
     flip = F.col("x") > F.col("y")
     both = near.unionByName(copies.where("x < y")).where("x <> y")
@@ -319,13 +398,6 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str =
     return both.distinct() if repeated else both
 
 
-def _doc_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part in slices(b, 1):
-            own, ids = sets(part.column(1), n)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array([len(s) for s in own], pa.int64())], ["doc", "id", "size"])
-
-
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """(node, root): the least node of each node's connected component, for edges (a, b).
 
@@ -363,12 +435,11 @@ def near_dedup(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "t
     """
     work = Workspace(docs.sparkSession, "near")
     node, root, nth, order = fresh(docs.columns, "rf_set", "rf_root", "rf_nth", "rf_order")
-    known = set_ids(docs.withColumn(order, row_order(docs, [c for c in (doc_id,) if c in docs.columns])), text, n, node)
-    pairs = set_pairs(docs, work, n, t, text)
-    copied = work.write(docs.select(F.col(f"`{text}`").alias("t")).transform(lambda d: set_ids(d, "t", n, "s")).where("s IS NOT NULL").groupBy("s").count().where("count > 1").select("s"), "copied")
+    known = docs.withColumns({order: row_order(docs, [c for c in (doc_id,) if c in docs.columns]), node: F.when(F.col(f"`{text}`").isNotNull(), F.xxhash64(F.col(f"`{text}`")))})
+    pairs, sizes, copied = set_pairs(docs, work, n, t, text)
     roots = components(pairs, work) if pairs.limit(1).count() else pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    alone = copied.join(roots.select(F.col("node").alias("s")), "s", "left_anti").select(F.col("s").alias("node"), F.col("s").alias("root"))
-    groups = work.write(roots.unionByName(alone).select(F.col("node").alias(node), F.col("root").alias(root)), "groups")
+    alone = copied.join(sizes, "id").join(roots.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias("node"), F.col("id").alias("root"))
+    groups = work.write(roots.unionByName(alone).select(F.col("node").alias(node), F.col("root").alias(root)).distinct(), "groups")
     if groups.count() <= broadcast_rows:
         groups = F.broadcast(groups)
     joined = known.join(groups, node, "left")
