@@ -416,7 +416,9 @@ class _Run:
 
     def settle(self, frame: DataFrame, names: list[str]) -> DataFrame:
         """Write the frame, then give fields whose type wasn't declared the type that all their values have."""
-        return self.typed(self.work.write(frame, "frame"), names)
+        written = self.work.write(frame, "frame")
+        self.work.keep_last()
+        return self.typed(written, names)
 
     def typed(self, frame: DataFrame, names: list[str]) -> DataFrame:
         open_fields = [(n, f) for n in names for f, t in self.types[n].items() if t is None]
@@ -450,7 +452,9 @@ class _Run:
             own = F.col(c)
             done = done.withColumn(c, F.struct(F.struct(*[own["values"][f].cast(t).alias(f) for f, t in before.items()]).alias("values"), *[own[x].alias(x) for x in target.names if x != "values"]))
         self.types[step.name] = before
-        return self.work.write(rest.unionByName(done.select(*frame.columns)), "frame")
+        written = self.work.write(rest.unionByName(done.select(*frame.columns)), "frame")
+        self.work.keep_last()
+        return written
 
     def through_cache(self, frame: DataFrame, step: Any, batch: bool, use_cache: bool) -> DataFrame:
         """Look rows up by key, run the first row of each missing key once, and give its result to the key's other rows.

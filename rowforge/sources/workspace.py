@@ -35,14 +35,22 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str = "run"):
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/rowforge-{name}-{uuid.uuid4().hex[:12]}", 0
+        self.tables: list[str] = []
         atexit.register(self.drop)
 
     def write(self, df: DataFrame, name: str = "table", partition_by: Iterable[str] = ()) -> DataFrame:
         self.n += 1
         at = f"{self.path}/{self.n:03d}-{name}"
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(at)
+        self.tables.append(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def keep_last(self) -> None:
+        """Delete all tables but the last, which holds what is still needed of them."""
+        for at in self.tables[:-1]:
+            delete(self.spark, at)
+        del self.tables[:-1]
+
     def drop(self) -> None:
         try:
             delete(self.spark, self.path)
