@@ -398,6 +398,25 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str =
     return both.distinct() if repeated else both
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's pairs, as few as connect the same sets: an edge (a, b) for each set but one of every group."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    edges = [(x, find(x)) for x in list(parent)]
+    cols = list(zip(*[e for e in edges if e[0] != e[1]])) or [[]] * 2
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """(node, root): the least node of each node's connected component, for edges (a, b).
 
@@ -437,7 +456,8 @@ def near_dedup(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "t
     node, root, nth, order = fresh(docs.columns, "rf_set", "rf_root", "rf_nth", "rf_order")
     known = docs.withColumns({order: row_order(docs, [c for c in (doc_id,) if c in docs.columns]), node: F.when(F.col(f"`{text}`").isNotNull(), F.xxhash64(F.col(f"`{text}`")))})
     pairs, sizes, copied = set_pairs(docs, work, n, t, text)
-    roots = components(pairs, work) if pairs.limit(1).count() else pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    edges = pairs.select("a", "b").mapInArrow(forest, "a long, b long")
+    roots = components(edges, work) if pairs.limit(1).count() else pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     alone = copied.join(sizes, "id").join(roots.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias("node"), F.col("id").alias("root"))
     groups = work.write(roots.unionByName(alone).select(F.col("node").alias(node), F.col("root").alias(root)).distinct(), "groups")
     if groups.count() <= broadcast_rows:
