@@ -7,9 +7,10 @@ A word is a maximal run of bytes other than space, tab, newline, form feed and c
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -172,9 +173,12 @@ def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return spread(out), off
 
 
-def packed(parts: list[np.ndarray], kind) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
-def chunks(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def trimmed(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts; after the last, the memory that a task has freed goes back to the system, as Python workers live on."""
+    try:
+        yield from parts
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)

@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Words, Workspace, buckets, content_key, fresh, grams, row_order, slices, spread
+from .common import U64, Words, Workspace, buckets, content_key, fresh, grams, row_order, slices, spread, trimmed
 
 N, THRESHOLD, MU = 3, 0.5, 0.01
-_FLUSH = 6 << 20  # n-grams
+_FLUSH = 3 << 20  # n-grams
 _PAIRS = 1 << 20
 _SPREAD = 20  # bits of the squared length from which a list's bucket depends on the n-gram too
 _BLOCK = 1024  # sets of one group whose pairs are verified together
@@ -349,19 +349,19 @@ def set_pairs(docs: DataFrame, work: Workspace, n: int = N, t: float = THRESHOLD
         once = slim.join(copied, "h", "left").where("first IS NULL OR at = first").select("h", "t").sortWithinPartitions("h")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from inverted(list(batches), ranges)
+        yield from trimmed(inverted(list(batches), ranges))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from divide(list(batches), t, mu, ranges)
+        yield from trimmed(divide(list(batches), t, mu, ranges))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from merge(list(batches), t, ranges)
+        yield from trimmed(merge(list(batches), t, ranges))
 
-    packed = once.mapInArrow(lambda bs: postings(bs, n, ranges), "bucket int, block long, " + ", ".join(f"{c} binary" for c in _POSTED[2:]))
+    packed = once.mapInArrow(lambda bs: trimmed(postings(bs, n, ranges)), "bucket int, block long, " + ", ".join(f"{c} binary" for c in _POSTED[2:]))
     by_set = packed.groupBy("bucket").applyInArrow(lists, "block long, " + ", ".join(f"{c} binary" for c in _LISTS[1:]))
     divided = work.write(by_set.groupBy("block").applyInArrow(split, "id long, size int, need int, grams binary, short binary, routes binary"), "divided")
     searched = divided.where("need IS NOT NULL")
-    short = searched.mapInArrow(lambda bs: short_lists(bs, ranges), "bucket int, grams binary, own binary, ids binary, sizes binary, needs binary")
+    short = searched.mapInArrow(lambda bs: trimmed(short_lists(bs, ranges)), "bucket int, grams binary, own binary, ids binary, sizes binary, needs binary")
     met = short.groupBy("bucket").applyInArrow(pairs, "a long, b long, n long, need int, part int")
     candidates = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.min("part").alias("part")).where("n >= need").select("part", "a", "b")
     candidates = work.write(candidates, "candidates")
@@ -369,7 +369,7 @@ def set_pairs(docs: DataFrame, work: Workspace, n: int = N, t: float = THRESHOLD
     members = needed.join(searched.select("id", "size", "grams"), "id").select("at", "id", "size", "grams")
 
     def verify(p: pa.Table, m: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([probe(p.to_batches(), m.to_batches(), t)])
+        return pa.Table.from_batches(list(trimmed([probe(p.to_batches(), m.to_batches(), t)])))
 
     found = candidates.groupBy("part").cogroup(members.groupBy("at")).applyInArrow(verify, "a long, b long, overlap long, size_a long, size_b long")
     return work.write(found, "pairs"), divided.select("id", F.col("size").cast("long").alias("size")), copied.select(F.col("h").alias("id"))

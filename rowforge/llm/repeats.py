@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Words, Workspace, buckets, fresh, slices, spread
+from .common import U64, Words, Workspace, buckets, fresh, slices, spread, trimmed
 
 WINDOW = 50
 _LAST = np.iinfo(np.int64).max  # a null doc_id sorts last
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-_FLUSH = 4 << 20  # suffixes
+_FLUSH = 2 << 20  # suffixes
 _COLS = ("docs", "texts", "run_doc", "run_start", "run_size", "first", "second")
 PACKED = "bucket int, " + ", ".join(f"{c} binary" for c in _COLS)
 _KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint32)
@@ -173,10 +173,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text", do
         raise ValueError("a window has two words or more")
     ranges = buckets(docs.sparkSession)
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("h")).where("t IS NOT NULL")
-    packed = slim.mapInArrow(lambda bs: pack(bs, window, ranges), PACKED)
+    packed = slim.mapInArrow(lambda bs: trimmed(pack(bs, window, ranges)), PACKED)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield repeated_runs(list(batches))
+        yield from trimmed([repeated_runs(list(batches))])
 
     runs = packed.groupBy("bucket").applyInArrow(reduce, "doc_id long, text long, start long, stop long, kept boolean")
     own = W.partitionBy("doc_id", "text", "kept").orderBy("start")
