@@ -26,7 +26,7 @@ _BACK = pow(_BASE, -1, 1 << 64)
 _FLUSH = 2 << 20  # suffixes
 _COLS = ("docs", "texts", "run_doc", "run_start", "run_size", "first", "second")
 PACKED = "bucket int, " + ", ".join(f"{c} binary" for c in _COLS)
-_KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint32)
+_KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)  # a run may be as long as its text
 
 
 def run_hashes(h: np.ndarray, size: int) -> np.ndarray:

@@ -171,6 +171,14 @@ def test_repeated_spans(spark, window):
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
 
 
+def test_repeats_of_a_run_longer_than_16_bits(spark):
+    """One minimizer in 199,951 windows, before documents that share a passage."""
+    shared = " ".join(f"s{i}" for i in range(200))
+    texts = ["a " * 200_000, *(f"b{i} {shared} c{i}" for i in range(6)), *(" ".join(f"x{i}-{j}" for j in range(80)) for i in range(6))]
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.kept) for r in repeated_spans(spark.createDataFrame(rows_of(texts), DOCS).coalesce(1)).collect())
+    assert got == [(0, 0, 50, True), (0, 1, 200_000, False), (1, 1, 201, True), *((i, 1, 201, False) for i in range(2, 7))]
+
+
 def test_remove_repeats(spark):
     shared = " ".join(f"s{i}" for i in range(60))
     texts = [f"alpha beta {shared} gamma", f"delta {shared}\n epsilon", shared, "short text", None, ""]
