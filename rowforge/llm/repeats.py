@@ -4,7 +4,9 @@ Of the suffix array only the order through the first ``window`` words is needed:
 repeated windows. Every word starts a suffix. A suffix goes to the hash range of its window's minimizer, the least hash of
 the runs of half a window's words within it, so equal windows meet, and consecutive suffixes mostly travel together. There,
 passes over 16-bit digits of the hashes of the window's halves, most significant digit first, split the suffixes into
-groups; a suffix alone in its group is dropped at once, so later passes see few. The groups left are equal windows.
+groups; a suffix alone in its group is dropped at once, so later passes see few. The groups left are equal windows. Of each
+half the digits are the hash's upper 32 bits; two more are the halves' lower 32 bits, xored. So windows that share a half
+are told apart by all 64 bits of the other's hash, and windows that share none by 96 bits. Words are not compared.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ _LAST = np.iinfo(np.int64).max  # a null doc_id sorts last
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _FLUSH = 2 << 20  # suffixes
-_COLS = ("docs", "texts", "run_doc", "run_start", "run_size", "first", "second")
+_COLS = ("docs", "texts", "run_doc", "run_start", "run_size", "first", "second", "lower")
 PACKED = "bucket int, " + ", ".join(f"{c} binary" for c in _COLS)
-_KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)  # a run may be as long as its text
+_KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)  # a run may be as long as its text
 
 
 def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -53,7 +55,7 @@ def least_within(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def suffixes(texts: pa.Array, window: int) -> tuple[np.ndarray, ...]:
-    """Of each window of a batch of texts: its text, its first word's place there, its minimizer, and its halves' hashes."""
+    """Of each window of a batch of texts: its text, its first word's place there, its minimizer, and its halves' hashes in 3 x 32 bits."""
     words = Words(texts)
     half = window // 2
     run = run_hashes(words.hashes(), half)
@@ -62,7 +64,8 @@ def suffixes(texts: pa.Array, window: int) -> tuple[np.ndarray, ...]:
     start = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
     at = start + words.first[doc]
     low = least_within(run, window - half + 1)
-    return doc, start, low[at], (run[at] >> U64(32)).astype(np.uint32), (run[at + window - half] >> U64(32)).astype(np.uint32)
+    a, b = run[at], run[at + window - half]
+    return doc, start, low[at], (a >> U64(32)).astype(np.uint32), (b >> U64(32)).astype(np.uint32), (a ^ b).astype(np.uint32)
 
 
 def pack(batches: Iterator[pa.RecordBatch], window: int, ranges: int) -> Iterator[pa.RecordBatch]:
@@ -70,33 +73,33 @@ def pack(batches: Iterator[pa.RecordBatch], window: int, ranges: int) -> Iterato
     held: list[tuple] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        ids, texts, doc, start, size, bucket, first, second = (np.concatenate(c) for c in zip(*held))
+        ids, texts, doc, start, size, bucket, *parts = (np.concatenate(c) for c in zip(*held))
         order = np.argsort(bucket, kind="stable")
         begin = np.cumsum(size) - size
         many = size[order]
         at = np.repeat(begin[order] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        first, second = first[at], second[at]
+        parts = [x[at] for x in parts]
         run = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order))
         upto = np.append(0, np.cumsum(many))
         rows = []
         for a, b in zip(run, run[1:]):
             own = order[a:b]
             used, back = np.unique(doc[own], return_inverse=True)
-            values = (ids[used], texts[used], back, start[own], size[own], first[upto[a] : upto[b]], second[upto[a] : upto[b]])
+            values = (ids[used], texts[used], back, start[own], size[own], *(x[upto[a] : upto[b]] for x in parts))
             rows.append((int(bucket[own[0]]), *(v.astype(k).tobytes() for v, k in zip(values, _KINDS))))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["bucket", *_COLS])
 
     count = docs = 0
     for b in batches:
         for part in slices(b, 1):
-            doc, start, low, first, second = suffixes(part.column(1), window)
+            doc, start, low, *parts = suffixes(part.column(1), window)
             if not len(doc):
                 continue
             head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (low[1:] != low[:-1])))
             size = np.diff(np.append(head, len(doc)))
             ids = part.column(0).fill_null(_LAST).to_numpy()
             bucket = (low[head] % U64(ranges)).astype(np.int64)
-            held.append((ids, part.column(2).to_numpy(), doc[head] + docs, start[head], size, bucket, first, second))
+            held.append((ids, part.column(2).to_numpy(), doc[head] + docs, start[head], size, bucket, *parts))
             docs, count = docs + part.num_rows, count + len(doc)
             if count >= _FLUSH:
                 yield from flush()
@@ -106,13 +109,13 @@ def pack(batches: Iterator[pa.RecordBatch], window: int, ranges: int) -> Iterato
         yield from flush()
 
 
-def equal_groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def equal_groups(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes that share their window with another, group by group, and the group of each."""
-    at = np.arange(len(first))
-    group = np.zeros(len(first), np.int64)
-    for half in (first, second):
+    at = np.arange(len(parts[0]))
+    group = np.zeros(len(parts[0]), np.int64)
+    for part in parts:
         for shift in (16, 0):
-            digit = (half[at] >> np.uint32(shift)).astype(np.uint16)
+            digit = (part[at] >> np.uint32(shift)).astype(np.uint16)
             order = np.argsort(digit, kind="stable")  # numpy's stable sort of 16 bits is a radix sort
             if len(group) and group[-1]:
                 order = order[np.argsort(group[order], kind="stable")]
@@ -135,9 +138,9 @@ def repeated_runs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
             docs += len(values[0])
             for c, v in zip(cols, values):
                 c.append(v)
-    ids, texts, doc, start, size, first, second = (np.concatenate(c) for c in cols)
-    at, group = equal_groups(first, second)
-    del first, second
+    ids, texts, doc, start, size, *parts = (np.concatenate(c) for c in cols)
+    at, group = equal_groups(*parts)
+    del parts
     upto = np.cumsum(size, dtype=np.int64)
     run = np.searchsorted(upto, at, "right")
     place = start[run].astype(np.int64) + (at - (upto[run] - size[run]))

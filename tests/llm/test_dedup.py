@@ -5,11 +5,12 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rowforge.llm.exact_dedup import exact_dedup, misra_gries, prune
 from rowforge.llm.jaccard import components, jaccard_join, near_dedup
-from rowforge.llm.common import Workspace
-from rowforge.llm.repeats import remove_repeats, repeated_spans
+from rowforge.llm.common import Words, Workspace
+from rowforge.llm.repeats import remove_repeats, repeated_spans, run_hashes
 
 from .helpers import DOCS, mutate, nasty, rows_of, words
 
@@ -179,6 +180,18 @@ def test_repeats_of_a_run_longer_than_16_bits(spark):
     assert got == [(0, 0, 50, True), (0, 1, 200_000, False), (1, 1, 201, True), *((i, 1, 201, False) for i in range(2, 7))]
 
 
+def test_windows_that_share_a_half_are_told_apart_by_64_bits(spark):
+    """The hashes of each pair's words have their upper 32 bits in common; the shared word has the least hash."""
+    pairs = [("w104292", "w200586"), ("w168493", "w268794"), ("w92172", "w101124")]
+    for a, b in pairs:
+        x, y = (int(v) for v in run_hashes(Words(pa.array([f"{a} {b}"])).hashes(), 1))
+        assert x != y and x >> 32 == y >> 32
+    texts = [t for p in pairs for w in p for t in (f"w49060 {w}", f"{w} w49060")]
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    assert repeated_spans(df, 2).count() == 0 and remove_repeats(df, 2).count() == len(texts)
+    assert repeated_spans(df.union(df.withColumn("doc_id", F.col("doc_id") + 100)), 2).count() == 2 * len(texts)
+
+
 def test_remove_repeats(spark):
     shared = " ".join(f"s{i}" for i in range(60))
     texts = [f"alpha beta {shared} gamma", f"delta {shared}\n epsilon", shared, "short text", None, ""]
