@@ -2,17 +2,22 @@
 
 A labelled good document is preferred to a labelled bad one. The score is linear in features that Spark computes from the
 whole text with built-in functions; its weights minimise the logistic loss of feature differences over preference pairs.
-The cut is a quantile of scores. Only the weights are computed on the driver, from a bounded sample of labelled rows.
+The cut is a quantile of the scores of all documents, at the level that parts all labelled ones with the least error. Only
+the weights are computed on the driver, from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 FEATURES = ("symbols", "capitals", "digits", "ends", "distinct", "word_length", "long_words", "log_words", "line_words")
 
 
@@ -45,7 +50,7 @@ class Ranker:
     centre: tuple[float, ...]
     scale: tuple[float, ...]
     cut: float
-    level: float  # the quantile of labelled documents' scores that the cut is
+    level: float  # the quantile of all documents' scores that the cut is
 
     def score(self, of: list[Column]) -> Column:
         out = F.lit(0.0)
@@ -85,14 +90,75 @@ def best_level(scores: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tupl
     return float(level), float(cut)
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range of scores, as sorted (score, good, bad) with counts: the counts below its best cut, and those from there on.
+
+    No cut inside a range has less error, over all, than its best one, whatever the other ranges hold.
+    """
+    lo = hi = None
+    total, below, error, least = np.zeros(2, np.int64), np.zeros(2, np.int64), 0, 0
+    for b in batches:
+        s, good, bad = (b.column(i).to_numpy() for i in range(3))
+        if not len(s):
+            continue
+        if lo is None:
+            lo = hi = s[0]
+        wrong = error + np.cumsum(good - bad)  # of rejecting up to each score
+        i = int(np.argmin(wrong))
+        if wrong[i] < least:
+            least, below = int(wrong[i]), total + [good[: i + 1].sum(), bad[: i + 1].sum()]
+        total, error, hi = total + [good.sum(), bad.sum()], int(wrong[-1]), s[-1]
+    if lo is not None:
+        parts = [(lo, *below), (hi, *(total - below))] if below.any() and (total - below).any() else [(lo, *total)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), (pa.float64(), pa.int64(), pa.int64()))], ["score", "good", "bad"])
+
+
+def labelled_level(scored: DataFrame) -> tuple[int, int]:
+    """How many of the (score, good) rows the cut with the least error rejects, and how many rows there are."""
+    n = scored.groupBy("score").agg(F.sum("good").cast("long").alias("good"), F.sum(1 - F.col("good")).cast("long").alias("bad"))
+    rows = n.repartitionByRange("score").sortWithinPartitions("score").mapInArrow(chunks, "score double, good long, bad long").collect()  # two a partition
+    rows.sort(key=lambda r: r["score"])
+    at, good, many = (np.array(c) for c in zip(*[(float(i), g, float(r["good"] if g else r["bad"])) for i, r in enumerate(rows) for g in (True, False)]))
+    level, _ = best_level(at, good, many)
+    return round(level * many.sum()), int(many.sum())
+
+
+def ordered(score: np.ndarray) -> np.ndarray:
+    """Integers in the order of the scores."""
+    bits = (score + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(np.iinfo(np.int64).max))
+
+
+def score_at(scores: DataFrame, rank: int) -> float:
+    """The score that has ``rank`` of the scores before it in order, found 16 bits at a time from counts."""
+    prefix = 0
+    for shift in (48, 32, 16, 0):
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key = ordered(b.column(0).to_numpy()) >> shift
+                part, c = np.unique(key if shift == 48 else key[key >> 16 == prefix], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(c, pa.int64())], ["part", "c"])
+
+        rows = scores.select("score").mapInArrow(count, "part long, c long").groupBy("part").agg(F.sum("c").alias("c")).collect()  # 65,536 at most
+        for r in sorted(rows):
+            prefix = r["part"]
+            if rank < r["c"]:
+                break
+            rank -= r["c"]
+    bits = np.int64(prefix)
+    return float((bits ^ ((bits >> np.int64(63)) & np.int64(np.iinfo(np.int64).max))).view(np.float64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", per_class: int = 8000, pairs: int = 200_000, seed: int = 7) -> Ranker | None:
     """A ranker from at most ``per_class`` labelled documents of each quality and ``pairs`` preference pairs among them.
 
-    The sample is the documents with the smallest hashes of doc_id. Labels with a null are ignored; a document labelled both
-    ways counts as bad. None where either quality has no document, as nothing can then be learned.
+    The sample, of which the weights are learned, is the documents with the smallest hashes of doc_id. Then all documents are
+    scored. Of all labelled ones' scores the level is taken that separates good from bad with the least error, and the cut
+    is the quantile of all documents' scores at that level. Labels with a null are ignored; a document labelled both ways
+    counts as bad. None where either quality has no document, as nothing can then be learned.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("good"))
-    count = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [known.where(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for g in (0, 1)]
     picked = parts[0].unionByName(parts[1])
     found = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "doc_id")
@@ -107,9 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     scale[scale < 1e-9] = 1
     z = (x - centre) / scale
     w = bradley_terry(z[i], z[j])
-    weight = np.where(good, count[1] / good.sum(), count[0] / (~good).sum())
-    level, cut = best_level(z @ w, good, weight)
-    return Ranker(tuple(map(float, w)), tuple(map(float, centre)), tuple(map(float, scale)), cut, level)
+    ranker = Ranker(tuple(map(float, w)), tuple(map(float, centre)), tuple(map(float, scale)), -np.inf, 0.0)
+    work = Workspace(docs.sparkSession, "quality")
+    scored = work.write(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), ranker.score(features(text)).alias("score")), "scores")
+    rejected, labelled = labelled_level(scored.join(known, "doc_id").select("score", "good"))
+    n = scored.count()
+    rank = rejected * n // labelled
+    cut = -np.inf if rank == 0 else np.inf if rank == n else score_at(scored, rank)
+    work.drop()
+    return replace(ranker, cut=cut, level=rejected / labelled)
 
 
 def quality_scores(docs: DataFrame, ranker: Ranker | None, text: str, score: str, keep: str) -> DataFrame:

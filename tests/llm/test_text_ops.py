@@ -128,6 +128,42 @@ def test_best_level_is_the_least_error():
         assert wrong(cut) == pytest.approx(min(wrong(c) for c in [-np.inf, np.inf, *(s + 0.5), *(s - 0.5)]))
 
 
+def test_quality_cut_is_a_quantile_of_all_scores(spark):
+    """The level comes from all labelled documents, not from the sample, and the cut from all documents."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    ranker = quality.fit(docs, labels, per_class=4, pairs=100)
+    quality_of = {}
+    for r in labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").collect():
+        quality_of[r.doc_id] = min(quality_of.get(r.doc_id, 1), r.quality)
+    rows = quality.quality_scores(docs, ranker, "text", "score", "keep").collect()
+    known = [(r.score, bool(quality_of[r.doc_id])) for r in rows if r.doc_id in quality_of]
+    assert 8 < len(known) < len(rows)
+    wrong = lambda c: sum((s >= c) != g for s, g in known)
+    best = min([s for s, _ in known] + [math.inf], key=lambda c: (wrong(c), c))
+    rejected = sum(s < best for s, _ in known)
+    assert ranker.level == rejected / len(known) and 0 < ranker.level < 1
+    assert ranker.cut == sorted(r.score for r in rows)[rejected * len(rows) // len(known)]
+    assert all(r.keep == (r.score >= ranker.cut) for r in rows)
+
+
+def test_level_and_quantile_over_partitions(spark):
+    rng = random.Random(8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else these few rows are one partition
+    try:
+        for spread in (3, 40, 10**6):
+            rows = [(rng.randint(-spread, spread) / 7, rng.randint(0, 1)) for _ in range(200)]
+            rows = [(s, int(rng.random() < 0.2) if s < 0 else g | int(rng.random() < 0.5)) for s, g in rows]
+            df = spark.createDataFrame(rows, "score double, good int")
+            wrong = lambda c: sum((s >= c) != bool(g) for s, g in rows)
+            best = min([s for s, _ in rows] + [math.inf], key=lambda c: (wrong(c), c))
+            assert quality.labelled_level(df) == (sum(s < best for s, _ in rows), len(rows))
+            for rank in (0, 77, 199):
+                assert quality.score_at(df, rank) == sorted(s for s, _ in rows)[rank]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_quality_held_out(spark):
     """Accuracy over half of the labels, learned from the other half."""
     sf = "/root/testdata/sf0.01"
