@@ -14,11 +14,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices, text_buffers
 
 N = 4  # bytes; an n-gram is its own 32-bit key
+LARGE = 1_000_000  # n-grams of a sample
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 SCHEMA = "doc_id long, lang_id string, score double, margin double"
 
@@ -94,8 +96,10 @@ def places(key: np.ndarray, bits: int, hashes: int) -> Iterator[np.ndarray]:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 2000, least: int = 10, seed: int = 11, **shape: int) -> Filters:
-    """Filters of the n-grams that occur ``least`` times or more in a language's sample: about ``per_language`` of its rows, chosen by hash.
+    """Filters of the n-grams that are frequent in a language's sample: about ``per_language`` of its rows, chosen by hash.
 
+    Frequent is ``least`` times or more in a sample of a million n-grams or more, in proportion in a smaller one, and once in
+    a small one, so a rare language has a filter too.
     Rows without a language or a text are left out. Without any labelled row there is no language.
     """
     t, name = F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("name")
@@ -118,7 +122,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
                     k, c = np.unique(key[inside][own == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([str(n)] * len(k)), pa.array(k.astype(np.int64)), pa.array(c.astype(np.int64))], ["name", "gram", "c"])
 
-    rows = picked.mapInArrow(count, "name string, gram long, c long").groupBy("name", "gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    rows = picked.mapInArrow(count, "name string, gram long, c long").groupBy("name", "gram").agg(F.sum("c").alias("c"))
+    size = F.sum("c").over(W.partitionBy("name"))
+    rows = rows.withColumn("floor", F.least(F.lit(float(least)), F.greatest(F.lit(1.0), size * (least / LARGE)))).where("c >= floor")
     found = rows.select("name", "gram").toPandas()  # n-grams of a bounded sample
     return Filters.build({r["name"]: found.loc[found["name"] == r["name"], "gram"].to_numpy().astype(np.uint32) for r in counts}, **shape)
 

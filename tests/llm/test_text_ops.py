@@ -253,6 +253,15 @@ def test_langid_held_out(spark):
     assert sum(r.lang_id == r.lang for r in got) / len(got) > 0.95
 
 
+def test_langid_of_a_rare_language(spark):
+    """Three short documents are enough for a language beside one of many."""
+    rare = ["ngomso siya kuthetha", "namhlanje bayahamba kakhulu", "abantwana bafunda isixhosa"]
+    rows = [(i, f"the weather of today number {i} is good and the people walk home", "en") for i in range(300)] + [(1000 + i, t, "xh") for i, t in enumerate(rare)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(df, langid.train(df)).collect()}
+    assert all(got[d].lang_id == lang for d, _, lang in rows) and got[1000].score > 0.9
+
+
 def test_langid_edge_cases(spark):
     df = nasty(spark)
     rows = langid.identify(df, langid.train(df, least=1)).collect()
