@@ -4,7 +4,8 @@ Misra-Gries sketches, one a task and merged by an aggregation, name the digests
 winners are then found exactly by an aggregation that combines before it shuffles, and the winners, of which there are
 at most ``counters``, are broadcast: all other rows of those digests go where they are read. What remains has no digest
 with more than about rows / counters copies, so an ordinary shuffle of (digest, order) finds its repeated digests and
-their winners. Texts are never shuffled but those of winners: a row is compared with its digest's winner where it is read.
+their winners. Texts are never shuffled but those of winners: a row's order is compared with that of its digest's winner
+where it is read. Texts are equal if their SHA-256 digests are: counts and winners are verified, texts are not compared.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def heavy_digests(digests: DataFrame, column: str, counters: int, least: int) ->
 def exact_dedup(
     docs: DataFrame, text: str = "text", order: Iterable[str] = ("doc_id",), counters: int = 1024, least: int = 16, broadcast_rows: int = 4_000_000
 ) -> DataFrame:
-    """One row of each set of rows whose texts are equal byte for byte, with all its columns.
+    """One row of each set of rows whose texts have one SHA-256 digest, which stands for equality byte for byte, with all its columns.
 
     The row with the smallest ``order`` columns stays (nulls last), ties going to the smaller hash of the whole row; of
     rows equal in every column one stays. Rows whose text is null have no content to compare, and all stay; empty texts
