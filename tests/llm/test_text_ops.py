@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -46,19 +47,85 @@ def fewest(lengths, capacity):
     return best[0]
 
 
+def used_by(fillings):
+    used = Counter()
+    for f, n in fillings:
+        for x in f:
+            used[x] += n
+    return used
+
+
 def test_packing_is_optimal_on_small_cases():
     rng = random.Random(1)
     for _ in range(60):
         capacity = rng.choice([10, 17, 30])
         lengths = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 9))), reverse=True)
         out = packing.pack_lengths(Counter(lengths), capacity)
-        assert all(sum(f) <= capacity for f, _ in out)
-        used = Counter()
-        for f, n in out:
-            for x in f:
-                used[x] += n
-        assert used == Counter(lengths)
-        assert sum(n for _, n in out) == fewest(lengths, capacity)
+        assert all(sum(f) <= capacity for f, _ in out.fillings)
+        assert used_by(out.fillings) == Counter(lengths)
+        assert sum(n for _, n in out.fillings) == out.bins == out.least == fewest(lengths, capacity)
+
+
+def fits_into(items, bins):
+    """Whether the items can be parted among bins of these sizes, by trying all."""
+    if not items:
+        return True
+    seen = set()
+    for i, b in enumerate(bins):
+        if items[0] <= b and b not in seen:
+            seen.add(b)
+            if fits_into(items[1:], bins[:i] + (b - items[0],) + bins[i + 1 :]):
+                return True
+    return False
+
+
+def test_completions_are_the_undominated_fillings():
+    """30 items and more, many of them small, against all fillings and Martello and Toth's dominance."""
+    rng = random.Random(21)
+    for _ in range(30):
+        room = rng.randint(7, 13)
+        counts = Counter(rng.choice([2, 3, rng.randint(2, 5), rng.randint(3, room + 3)]) for _ in range(rng.randint(30, 45)))
+        have = sorted(x for x in counts if x <= room)
+        every = [()]
+        for x in have:
+            every = [f + (x,) * k for f in every for k in range(counts[x] + 1) if sum(f) + k * x <= room]
+        every = [tuple(sorted(f, reverse=True)) for f in every]
+        want = {f for f in every if not any(g != f and fits_into(f, g) for g in every)}
+        got = list(packing.completions(counts, room, room))
+        assert len(got) == len(set(got)) and set(got) == want
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+        assert list(packing.completions(counts, room, 1)) == [f for f in got if sum(f) >= room - 1]
+
+
+def test_packing_bounds():
+    """The bound is below every packing, best fit is a packing, and the search's result lies between."""
+    rng = random.Random(22)
+    for _ in range(60):
+        capacity = rng.choice([10, 30, 100])
+        low, high = sorted((rng.randint(1, capacity), rng.randint(1, capacity)))
+        counts = Counter(rng.randint(low, high) for _ in range(rng.randint(1, 60)))
+        fit = packing.best_fit(counts, capacity)
+        assert used_by(fit) == counts and all(sum(f) <= capacity for f, _ in fit)
+        out = packing.pack_lengths(counts, capacity, 20_000)
+        assert used_by(out.fillings) == counts and packing.least_bins(counts, capacity) <= out.least <= out.bins <= sum(n for _, n in fit)
+        if sum(counts.values()) <= 9:
+            assert packing.least_bins(counts, capacity) <= fewest(list(counts.elements()), capacity)
+
+
+def test_packing_search_beats_best_fit_and_ends():
+    beaten = packing.pack_lengths(Counter({44: 6, 24: 6, 36: 6, 22: 6, 21: 6, 8: 6, 4: 6}), 53)
+    assert beaten.bins == beaten.least <= sum(n for _, n in packing.best_fit({44: 6, 24: 6, 36: 6, 22: 6, 21: 6, 8: 6, 4: 6}, 53))
+    rng = random.Random(23)
+    hard = Counter(rng.randint(250, 480) for _ in range(100))
+    began = time.monotonic()
+    out = packing.pack_lengths(hard, 1000, 200_000)
+    assert time.monotonic() - began < 20 and out.least <= out.bins and used_by(out.fillings) == hard
+    small = Counter(rng.choice(range(9, 36)) for _ in range(111))  # many small lengths in one bin
+    out = packing.pack_lengths(small, 2048)
+    assert out.bins == out.least == math.ceil(sum(small.elements()) / 2048) and time.monotonic() - began < 30
+    huge = {x: 10**9 + x for x in range(1, 2049, 7)}
+    out = packing.pack_lengths(huge, 2048)
+    assert used_by(out.fillings) == Counter(huge) and out.least <= out.bins
 
 
 def check_bins(rows, docs, capacity):
@@ -90,11 +157,27 @@ def check_bins(rows, docs, capacity):
 def test_packing(spark):
     rng = random.Random(2)
     docs = [(i, " ".join("w" for _ in range(rng.choice([0, 3, 9, 10, 16, 31, 50, 77])))) for i in range(300)]
-    rows = packing.best_fit_packing(spark.createDataFrame(docs, "doc_id long, text string"), capacity=32).collect()
+    rows = packing.best_fit_packing(spark.createDataFrame(docs, "doc_id long, text string"), capacity=32, work=200_000).collect()
     bins, _ = check_bins(rows, docs, 32)
     total = sum(len(words(t)) for _, t in docs)
     rests = [len(words(t)) % 32 for _, t in docs]
-    assert math.ceil(total / 32) <= bins <= math.ceil(total / 32) + max(2, len([r for r in rests if r > 16]))
+    out = packing.pack_lengths(Counter(r for r in rests if r), 32, 200_000)
+    full = sum(len(words(t)) // 32 for _, t in docs)
+    assert bins == out.bins + full and {(r.bins, r.least_bins) for r in rows} == {(bins, out.least + full)}
+    assert math.ceil(total / 32) <= bins
+
+
+def test_packing_of_one_hot_length(spark):
+    """Rows of one length, ties and nulls among them, are ranked over several files."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else these few rows are one file
+    try:
+        docs = [(i % 50 if i % 3 else None, "w w w") for i in range(400)] + [(7, "w w w")] * 200 + [(i, "w " * 40) for i in range(60)]
+        rows = packing.best_fit_packing(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), capacity=16).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    bins, _ = check_bins(rows, docs, 16)
+    assert bins == rows[0].bins == rows[0].least_bins
+    assert Counter((r.doc_id, r.n_tokens) for r in rows if r.n_tokens == 3) == Counter((d, 3) for d, t in docs if len(t) < 9)
 
 
 def test_packing_edge_cases(spark):
