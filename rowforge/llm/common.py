@@ -68,9 +68,18 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
-def buckets(spark: SparkSession) -> int:
-    """Hash ranges of a packed shuffle: as many as the session's shuffle has partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+BROADCAST = 64 << 20  # bytes that a table may take to be broadcast
+
+
+def fits(table: DataFrame, row: int, most: int) -> bool:
+    """Whether a written table's rows, of ``row`` bytes each as a broadcast holds them, take at most ``most`` bytes; they are counted."""
+    return table.count() * row <= most
+
+
+def buckets(df: DataFrame, text: str, each: int = 16 << 20) -> int:
+    """Hash ranges of a packed shuffle: one for ``each`` bytes of text, which are counted, and one for each of the shuffle's partitions at least."""
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
+    return max(1, -(-total // each), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def row_order(df: DataFrame, first: Iterable[str] = ()) -> Column:

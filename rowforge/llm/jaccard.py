@@ -11,7 +11,9 @@ search is DivideSkip with the lists spread over hash ranges of n-grams:
    the set alone count as the shortest. With one order of lists for all sets, a pair then meets ``need`` times in short lists.
 3. The short lists are heap-merged bucket by bucket, and pairs that occur in need of them, over all buckets, are
    candidates. A list goes to the bucket of its least set, so the lists that a group of near duplicates shares meet in few
-   buckets and its pairs are counted there at once; lists so long that their pairs would burden one task are spread.
+   buckets and its pairs are counted there at once; lists so long that their pairs would burden one task are spread. Of a
+   list's sets only those are paired that may still reach the overlap which a pair of their sizes requires, as each has
+   so many lists from this one on; so a list that many short texts share makes no pairs that can't be similar.
 4. Candidates are looked up in the long lists by binary search: in a part of the candidates, a set's long lists are
    probed in the partner's sorted n-grams. The occurrences in all lists are the overlap, which decides. A pair's part is the
    bucket where it was found, so a set is sent to few parts.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Words, Workspace, buckets, content_key, fresh, grams, row_order, slices, spread, trimmed
+from .common import BROADCAST, U64, Words, Workspace, buckets, content_key, fits, fresh, grams, row_order, slices, spread, trimmed
 
 N, THRESHOLD, MU = 3, 0.5, 0.01
 _FLUSH = 3 << 20  # n-grams
@@ -107,6 +109,7 @@ def postings(batches: Iterator[pa.RecordBatch], n: int, ranges: int) -> Iterator
 
 
 _POSTED = ["bucket", "block", "grams", "own", "counts", "names", "sizes"]
+_SHORT = ["bucket", "grams", "own", "onward", "ids", "sizes", "needs"]
 _LISTS = ["block", "grams", "own", "counts", "lengths", "routes", "names", "sizes"]
 
 
@@ -179,12 +182,13 @@ def divide(batches: list[pa.RecordBatch], t: float, mu: float, parts: int) -> It
     for i, (name, s, need_all) in enumerate(zip(names.tolist(), size.tolist(), required(size, t).tolist())):
         a, b = edge[i], edge[i + 1]
         if b - a < need_all:
-            rows.append((name, s, None, None, None, None))
+            rows.append((name, s, None, None, None, None, None))
             continue
         longest = int(length[b - 1])
         long = min(need_all - 1, int(need_all / (mu * math.log2(longest) + 1)))
         mine = gram[a:b]
-        rows.append((name, s, need_all - long, squeeze(np.sort(mine)), squeeze(mine[: len(mine) - long]), route[a : b - long].tobytes()))
+        onward = np.minimum(np.arange(b - a, long, -1), 65535).astype(np.uint16)  # lists from each on; 65535 may be more
+        rows.append((name, s, need_all - long, squeeze(np.sort(mine)), squeeze(mine[: len(mine) - long]), route[a : b - long].tobytes(), onward.tobytes()))
         weight += 16 * int(b - a)
         if weight > 8 << 20:
             yield _divided(rows)
@@ -193,8 +197,8 @@ def divide(batches: list[pa.RecordBatch], t: float, mu: float, parts: int) -> It
 
 
 def _divided(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], ["id", "size", "need", "grams", "short", "routes"])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], ["id", "size", "need", "grams", "short", "routes", "onward"])
 
 
 def short_lists(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -206,17 +210,20 @@ def short_lists(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
         if not len(gram):
             continue
         bucket = np.frombuffer(b"".join(b.column(5).to_pylist()), route_kind(parts)).astype(np.int32)
+        onward = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint16)
         ids, size, need = (b.column(c).to_numpy() for c in range(3))
         own = np.repeat(np.arange(b.num_rows), at)
         order = np.lexsort((gram, bucket))
-        gram, own, bucket = gram[order], own[order], bucket[order]
+        gram, own, bucket, onward = gram[order], own[order], bucket[order], onward[order]
         cut = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket))
         rows = []
         for x, y in zip(cut, cut[1:]):
             used, back = np.unique(own[x:y], return_inverse=True)
             g = gram[x:y]
-            rows.append((int(bucket[x]), squeeze(g), back.astype(np.uint32).tobytes() if len(used) > 65535 else back.astype(np.uint16).tobytes(), ids[used].tobytes(), size[used].astype(np.int32).tobytes(), need[used].astype(np.int32).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["bucket", "grams", "own", "ids", "sizes", "needs"])
+            code = back.astype(np.uint32 if len(used) > 65535 else np.uint16)
+            facts = (ids[used], size[used].astype(np.int32), need[used].astype(np.int32))
+            rows.append((int(bucket[x]), squeeze(g), *(v.tobytes() for v in (code, onward[x:y], *facts))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], _SHORT)
 
 
 def _expand(start: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -225,7 +232,7 @@ def _expand(start: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def merge(batches: list[pa.RecordBatch], t: float, parts: int) -> Iterator[pa.RecordBatch]:
-    """Of a bucket: pairs of sets in its short lists, with how many lists hold both; sizes out of ratio are left out.
+    """Of a bucket: pairs of sets in its short lists, with how many lists hold both; those that can't be similar are left out.
 
     The arrivals are sorted, so a heap merges their pieces of lists into whole lists. Lists with one least set are taken
     together: where they have many sets in common, the product of their incidence matrix with itself counts all pairs.
@@ -233,25 +240,37 @@ def merge(batches: list[pa.RecordBatch], t: float, parts: int) -> Iterator[pa.Re
     name, pieces, facts = int(batches[0].column(0)[0].as_py()), [], []
     for b in batches:
         for i in range(b.num_rows):
-            gram, own, names, size, need = (b.column(c)[i].as_buffer() for c in range(1, 6))
+            gram, own, onward, names, size, need = (b.column(c)[i].as_buffer() for c in range(1, 7))
             names = np.frombuffer(names, np.int64)
             own = np.frombuffer(own, np.uint32 if len(names) > 65535 else np.uint16)
-            pieces.append((unsqueeze(gram), names[own]))
+            pieces.append((unsqueeze(gram), names[own], np.frombuffer(onward, np.uint16)))
             facts.append((names, np.frombuffer(size, np.int32), np.frombuffer(need, np.int32)))
     known, first = np.unique(np.concatenate([f[0] for f in facts]), return_index=True)  # in order of id
     size, need = (np.concatenate([f[k] for f in facts])[first].astype(np.int64) for k in (1, 2))
     base, runs = 0, []
-    for g, _ in pieces:
+    for g, *_ in pieces:
         cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         runs.append(zip(g[cut].tolist(), (cut + base).tolist(), np.diff(np.append(cut, len(g))).tolist()))
         base += len(g)
     merged = np.array(list(heapq.merge(*runs)), dtype=object).reshape(-1, 3) if len(pieces) > 1 else np.array(list(runs[0]), dtype=object).reshape(-1, 3)
     begin, many = merged[:, 1].astype(np.int64), merged[:, 2].astype(np.int64)
     gram = merged[:, 0].astype(U64)
-    own = np.searchsorted(known, np.concatenate([p[1] for p in pieces]))[_expand(begin, many)]
+    at = _expand(begin, many)
+    own = np.searchsorted(known, np.concatenate([p[1] for p in pieces]))[at]
+    onward = np.concatenate([p[2] for p in pieces])[at]
     head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))  # pieces of one list
     length = np.add.reduceat(many, head)
     start = np.cumsum(length) - length
+    # in a list, sets by size: a set's partners that are no smaller are those that follow, up to a size
+    of_list = np.repeat(np.arange(len(length)), length)
+    order = np.lexsort((own, size[own], of_list))
+    own, onward = own[order], onward[order].astype(np.int64)
+    onward[onward == 65535] = 1 << 40
+    reach = onward - 1 + need[own]  # the overlap that a set can have with one that it meets here first, or need'th
+    top = np.minimum(np.floor(size[own] / t + 1e-9), np.floor(reach * ((1 + t) / t) + 1e-9) - size[own]).astype(np.int64)
+    wide = int(size.max(initial=0)) + 1
+    after = np.searchsorted(of_list * wide + size[own], of_list * wide + np.clip(top, -1, wide - 1), "right") - np.arange(len(own)) - 1
+    after = np.maximum(after, 0)
     least = np.minimum.reduceat(own, start)
     keep = length > 1
     order = np.argsort(least[keep], kind="stable")
@@ -275,19 +294,20 @@ def merge(batches: list[pa.RecordBatch], t: float, parts: int) -> Iterator[pa.Re
 
     def make() -> Iterator[pa.RecordBatch]:
         at = np.concatenate(few)
-        weight = length[at] * (length[at] - 1) // 2
-        slot = np.cumsum(weight) // _PAIRS
-        for chunk in np.split(at, np.flatnonzero(np.diff(slot)) + 1):
-            m = length[chunk]
-            where = _expand(start[chunk], m)
-            after = np.repeat(m, m) - 1 - _expand(np.zeros(len(m), np.int64), m)
-            left = np.repeat(where, after)
-            right = left + 1 + _expand(np.zeros(len(after), np.int64), after)
-            yield count(own[left], own[right])
+        where = _expand(start[at], length[at])
+        where = where[after[where] > 0]
+        slot = np.cumsum(after[where]) // _PAIRS
+        for chunk in np.split(where, np.flatnonzero(np.diff(slot)) + 1):
+            left = np.repeat(chunk, after[chunk])
+            right = left + 1 + _expand(np.zeros(len(chunk), np.int64), after[chunk])
+            a, b = own[left], own[right]
+            far = np.minimum(onward[left], onward[right]) - 1 + np.minimum(need[a], need[b])
+            good = (size[a] + size[b]) * (t / (1 + t)) - 1e-9 <= far
+            yield count(a[good], b[good])
 
     for x, y in zip(groups, groups[1:]):
         m = length[x:y]
-        pairs = int((m * (m - 1)).sum()) // 2
+        pairs = int(after[_expand(start[x:y], m)].sum())
         if y - x > 1 and pairs > 2048:
             sets_, back = np.unique(own[_expand(start[x:y], m)], return_inverse=True)
             g = len(sets_)
@@ -333,20 +353,22 @@ def probe(pairs: list[pa.RecordBatch], members: list[pa.RecordBatch], t: float)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "overlap", "size_a", "size_b"])
 
 
-def set_pairs(docs: DataFrame, work: Workspace, n: int = N, t: float = THRESHOLD, text: str = "text", mu: float = MU, broadcast_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (a, b, overlap, size_a, size_b), a < b, of different texts, by hash, whose similarity is t or more; sizes (id, size) of all texts with words; copied (id) of texts that occur again.
+def set_pairs(docs: DataFrame, work: Workspace, n: int = N, t: float = THRESHOLD, text: str = "text", mu: float = MU, broadcast_bytes: int = BROADCAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b, overlap, size_a, size_b), a < b, of different texts, by hash, whose similarity is t or more; sizes (id, size) of all texts with words; copied (id, c) of texts that c > 1 rows have.
 
-    One row of each text is searched for, or several that are equal in all columns. The copied texts are broadcast if there are at most ``broadcast_rows``, else joined by a shuffle.
+    One row of each text is searched for, or several that are equal in all columns. The copied texts are broadcast if they take at most
+    ``broadcast_bytes``, else joined by a shuffle.
     """
     if not 0 < t <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
-    ranges = buckets(docs.sparkSession)
+    ranges = buckets(docs, text)
     slim = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("t"), content_key(docs).alias("at")).where("t IS NOT NULL")
-    copied = work.write(slim.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("first")).where("c > 1").select("h", "first"), "copied")
-    if copied.count() <= broadcast_rows:
-        once = slim.join(F.broadcast(copied), "h", "left").where("first IS NULL OR at = first").select("h", "t")
+    copied = work.write(slim.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("first")).where("c > 1"), "copied")
+    first = copied.select("h", "first")
+    if fits(copied, 48, broadcast_bytes):
+        once = slim.join(F.broadcast(first), "h", "left").where("first IS NULL OR at = first").select("h", "t")
     else:
-        once = slim.join(copied, "h", "left").where("first IS NULL OR at = first").select("h", "t").sortWithinPartitions("h")
+        once = slim.join(first, "h", "left").where("first IS NULL OR at = first").select("h", "t").sortWithinPartitions("h")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from trimmed(inverted(list(batches), ranges))
@@ -359,9 +381,9 @@ def set_pairs(docs: DataFrame, work: Workspace, n: int = N, t: float = THRESHOLD
 
     packed = once.mapInArrow(lambda bs: trimmed(postings(bs, n, ranges)), "bucket int, block long, " + ", ".join(f"{c} binary" for c in _POSTED[2:]))
     by_set = packed.groupBy("bucket").applyInArrow(lists, "block long, " + ", ".join(f"{c} binary" for c in _LISTS[1:]))
-    divided = work.write(by_set.groupBy("block").applyInArrow(split, "id long, size int, need int, grams binary, short binary, routes binary"), "divided")
+    divided = work.write(by_set.groupBy("block").applyInArrow(split, "id long, size int, need int, grams binary, short binary, routes binary, onward binary"), "divided")
     searched = divided.where("need IS NOT NULL")
-    short = searched.mapInArrow(lambda bs: trimmed(short_lists(bs, ranges)), "bucket int, grams binary, own binary, ids binary, sizes binary, needs binary")
+    short = searched.mapInArrow(lambda bs: trimmed(short_lists(bs, ranges)), "bucket int, " + ", ".join(f"{c} binary" for c in _SHORT[1:]))
     met = short.groupBy("bucket").applyInArrow(pairs, "a long, b long, n long, need int, part int")
     candidates = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.min("part").alias("part")).where("n >= need").select("part", "a", "b")
     candidates = work.write(candidates, "candidates")
@@ -372,30 +394,40 @@ def set_pairs(docs: DataFrame, work: Workspace, n: int = N, t: float = THRESHOLD
         return pa.Table.from_batches(list(trimmed([probe(p.to_batches(), m.to_batches(), t)])))
 
     found = candidates.groupBy("part").cogroup(members.groupBy("at")).applyInArrow(verify, "a long, b long, overlap long, size_a long, size_b long")
-    return work.write(found, "pairs"), divided.select("id", F.col("size").cast("long").alias("size")), copied.select(F.col("h").alias("id"))
+    return work.write(found, "pairs"), divided.select("id", F.col("size").cast("long").alias("size")), copied.select(F.col("h").alias("id"), "c")
 
 
-def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_a, doc_b, overlap, n_a, n_b, jaccard) for all pairs doc_a < doc_b whose sets of word n-grams have similarity t or more.
+def jaccard_classes(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_bytes: int = BROADCAST) -> DataFrame:
+    """(doc_id, class_id, n_links), a row for each row of docs: all links of its set of word n-grams with similarity t or more.
 
-    A text of fewer than n words, unless it has none, has one n-gram, of all its words; words are as in common. Texts
-    without words (null, empty) have no n-gram and no partner. Rows with a null doc_id can't be named and are left out; rows
-    with one doc_id don't pair with each other, and of equal pairs one is reported. Other columns are ignored. No row, no result.
+    n_links counts the other rows whose sets have that similarity to the row's, copies of its own text among them; copies are
+    counted, never expanded into pairs. class_id is the smallest doc_id of the rows that links connect, directly or through
+    others, so a row without links has its own. A text of fewer than n words, unless it has none, has one n-gram, of all its
+    words; words are as in common. Texts without words (null, empty) have no n-gram and no link. Rows with a null doc_id have
+    links and a class as others, and a null class_id where all of a class are null; equal rows, and rows of one doc_id, are
+    counted each. Texts are equal if their 64-bit hashes are, n-grams if 48 bits of theirs are. Other columns are ignored. No
+    row, no result.
     """
     work = Workspace(docs.sparkSession, "jaccard")
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    pairs, sizes, copied = set_pairs(slim, work, n, t)
-    nodes = work.write(slim.select("doc", F.xxhash64("text").alias("id")), "nodes")
-    a, b = nodes.select(F.col("doc").alias("x"), F.col("id").alias("a")), nodes.select(F.col("doc").alias("y"), F.col("id").alias("b"))
-    near = pairs.join(a, "a").join(b, "b").select("x", "y", "overlap", F.col("size_a").alias("n_x"), F.col("size_b").alias("n_y"))
-    copies = nodes.join(copied.join(sizes, "id").distinct(), "id").groupBy("id").agg(F.collect_list("doc").alias("docs"), F.min("size").alias("size"))
-    copies = copies.select(F.explode("docs").alias("x"), "docs", "size").select("x", F.explode("docs").alias("y"), F.col("size").alias("overlap"), F.col("size").alias("n_x"), F.col("size").alias("n_y"))
-    flip = F.col("x") > F.col("y")
-    both = near.unionByName(copies.where("x < y")).where("x <> y")
-    both = both.select(*[F.when(flip, F.col(q)).otherwise(F.col(p)).alias(o) for p, q, o in (("x", "y", "doc_a"), ("y", "x", "doc_b"), ("n_x", "n_y", "n_a"), ("n_y", "n_x", "n_b"))], "overlap")
-    both = both.select("doc_a", "doc_b", "overlap", "n_a", "n_b", (F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("jaccard"))
-    repeated = nodes.groupBy("doc").count().where("count > 1").limit(1).count()
-    return both.distinct() if repeated else both
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    pairs, sizes, copied = set_pairs(rows, work, n, t, broadcast_bytes=broadcast_bytes)
+    copies = work.write(copied.join(sizes, "id").groupBy("id").agg(F.max("c").alias("c")), "copies")  # those with words
+    some = fits(copies, 32, broadcast_bytes)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    many = copies.select(F.col("id").alias("b"), "c")
+    links = both.join(F.broadcast(many) if some else many, "b", "left").groupBy(F.col("a").alias("id")).agg(F.sum(F.coalesce("c", F.lit(1))).alias("links"))
+    links = links.unionByName(copies.select("id", (F.col("c") - 1).alias("links"))).groupBy("id").agg(F.sum("links").alias("links"))
+    edges = pairs.select("a", "b").mapInArrow(forest, "a long, b long")
+    roots = components(edges, work) if pairs.limit(1).count() else pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    linked = links.join(roots, F.col("id") == F.col("node"), "left")
+    linked = work.write(linked.select("id", "links", F.coalesce("root", "id").alias("root")), "linked")
+    joined = rows.select("doc", F.xxhash64("text").alias("id"), F.col("text").isNull().alias("none"))
+    joined = joined.select("doc", F.when(~F.col("none"), F.col("id")).alias("id"))
+    joined = work.write(joined.join(F.broadcast(linked) if fits(linked, 48, broadcast_bytes) else linked, "id", "left").select("doc", "root", "links"), "rows")
+    classes = work.write(joined.where("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("class")), "classes")
+    classes = F.broadcast(classes) if fits(classes, 32, broadcast_bytes) else classes
+    out = joined.join(classes, "root", "left")
+    return out.select(F.col("doc").alias("doc_id"), F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("class")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,23 +476,23 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
             return roots
 
 
-def near_dedup(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 2_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_bytes: int = BROADCAST) -> DataFrame:
     """One row of each group of near duplicates, in docs' columns: a group is a connected component of pairs with similarity t or more.
 
     The row with the smallest doc_id stays (nulls last), ties going to the smaller hash of the whole row. Rows with equal
     sets of n-grams, copies among them, are one group with their neighbours; of rows equal in every column one stays. Texts
-    without words (null, empty) are like nothing, and all stay. The groups' sets are broadcast if there are at most
-    ``broadcast_rows`` of them, else joined by a shuffle; only grouped rows are then shuffled.
+    without words (null, empty) are like nothing, and all stay. The groups' sets are broadcast if they take at most
+    ``broadcast_bytes``, else joined by a shuffle; only grouped rows are then shuffled.
     """
     work = Workspace(docs.sparkSession, "near")
     node, root, nth, order = fresh(docs.columns, "rf_set", "rf_root", "rf_nth", "rf_order")
     known = docs.withColumns({order: row_order(docs, [c for c in (doc_id,) if c in docs.columns]), node: F.when(F.col(f"`{text}`").isNotNull(), F.xxhash64(F.col(f"`{text}`")))})
-    pairs, sizes, copied = set_pairs(docs, work, n, t, text)
+    pairs, sizes, copied = set_pairs(docs, work, n, t, text, broadcast_bytes=broadcast_bytes)
     edges = pairs.select("a", "b").mapInArrow(forest, "a long, b long")
     roots = components(edges, work) if pairs.limit(1).count() else pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     alone = copied.join(sizes, "id").join(roots.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias("node"), F.col("id").alias("root"))
     groups = work.write(roots.unionByName(alone).select(F.col("node").alias(node), F.col("root").alias(root)).distinct(), "groups")
-    if groups.count() <= broadcast_rows:
+    if fits(groups, 32, broadcast_bytes):
         groups = F.broadcast(groups)
     joined = known.join(groups, node, "left")
     back = [F.col(f"`{c}`") for c in docs.columns]
@@ -470,16 +502,18 @@ def near_dedup(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "t
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {N}], ' ') AS g
-      FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - {N - 1}))) AS i FROM d WHERE len(w) > 0)),
-s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS overlap FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, overlap, sa.n AS n_a, sb.n AS n_b, overlap::DOUBLE / (sa.n + sb.n - overlap) AS jaccard
-FROM o JOIN s sa ON sa.doc_id = doc_a JOIN s sb ON sb.doc_id = doc_b
-WHERE overlap >= {THRESHOLD} * (sa.n + sb.n - overlap)
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '\S+') AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[i + 1 : i + {N}], ' ') AS g
+      FROM (SELECT r, w, unnest(range(greatest(1, len(w) - {N - 1}))) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+o AS (SELECT x.r AS a, y.r AS b, count(*) AS overlap FROM g x JOIN g y ON x.g = y.g AND x.r <> y.r GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN s sa ON sa.r = a JOIN s sb ON sb.r = b WHERE overlap >= {THRESHOLD} * (sa.n + sb.n - overlap)),
+near AS (SELECT r AS a, r AS b FROM d UNION SELECT near.a, e.b FROM near JOIN e ON near.b = e.a)
+SELECT d.doc_id, (SELECT min(x.doc_id) FROM near JOIN d x ON x.r = near.b WHERE near.a = d.r) AS class_id,
+       (SELECT count(*) FROM e WHERE e.a = d.r)::BIGINT AS n_links
+FROM d
 """

@@ -174,7 +174,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     """
     if window < 2:
         raise ValueError("a window has two words or more")
-    ranges = buckets(docs.sparkSession)
+    ranges = buckets(docs, text)
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("h")).where("t IS NOT NULL")
     packed = slim.mapInArrow(lambda bs: trimmed(pack(bs, window, ranges)), PACKED)
 

@@ -3,12 +3,13 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rowforge.llm.exact_dedup import exact_dedup, misra_gries, prune
-from rowforge.llm.jaccard import components, jaccard_join, near_dedup
+from rowforge.llm.jaccard import components, jaccard_classes, merge, near_dedup, set_pairs, squeeze
 from rowforge.llm.common import Words, Workspace
 from rowforge.llm.repeats import remove_repeats, repeated_spans, run_hashes
 
@@ -68,33 +69,79 @@ def brute_pairs(docs, t=0.5):
     return out
 
 
+def text_pairs(spark, df, t=0.5):
+    """What set_pairs finds, as the brute-force version gives it: by doc_id, which must tell the texts apart."""
+    pairs, _, _ = set_pairs(df, Workspace(spark, "t"), t=t)
+    name = {r.h: r.doc_id for r in df.select(F.xxhash64("text").alias("h"), "doc_id").collect()}
+    out = {}
+    for r in pairs.collect():
+        (a, n), (b, m) = sorted([(name[r.a], r.size_a), (name[r.b], r.size_b)])
+        out[a, b] = (r.overlap, n, m)
+    return out
+
+
+def brute_classes(rows, t=0.5):
+    """(doc_id, class_id, n_links) of each row."""
+    pairs = set(brute_pairs(list(enumerate(x for _, x in rows)), t))
+    group, links = list(range(len(rows))), [0] * len(rows)
+    for a, b in pairs:
+        links[a], links[b] = links[a] + 1, links[b] + 1
+        x, y = group[a], group[b]
+        group = [min(x, y) if g in (x, y) else g for g in group]
+    ids = defaultdict(list)
+    for g, (d, _) in zip(group, rows):
+        ids[g] += [d] if d is not None else []
+    return Counter((d, min(ids[g], default=None), n) for g, (d, _), n in zip(group, rows, links))
+
+
 @pytest.mark.parametrize("seed,t", [(3, 0.5), (4, 0.8), (5, 0.25)])
 def test_jaccard_join(spark, seed, t):
     rng = random.Random(seed)
     bases = [[f"w{rng.randint(0, 300)}" for _ in range(rng.choice([2, 5, 40, 90]))] for _ in range(10)]
-    docs = [(i, " ".join(mutate(rng, rng.choice(bases), rng.randint(0, 10), 300))) for i in range(220)]
-    got = {(r.doc_a, r.doc_b): (r.overlap, r.n_a, r.n_b) for r in jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), t=t).collect()}
-    assert got == brute_pairs(docs, t)
+    texts = [" ".join(mutate(rng, rng.choice(bases), rng.randint(0, 10), 300)) for _ in range(220)]
+    once = list(enumerate(dict.fromkeys(texts)))
+    assert text_pairs(spark, spark.createDataFrame(once, "doc_id long, text string"), t) == brute_pairs(once, t)
+    rows = [(i if rng.random() < 0.9 else None, x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (0, 10**8):
+        got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_classes(df, t=t, broadcast_bytes=most).collect())
+        assert got == brute_classes(rows, t)
 
 
 def test_jaccard_join_of_a_large_group(spark):
     """A group so large that its lists are spread and counted by blocks."""
     rng = random.Random(6)
     base = [f"w{i}" for i in range(60)]
-    docs = [(i, " ".join(mutate(rng, base, 3, 10_000))) for i in range(1300)]
-    got = {(r.doc_a, r.doc_b) for r in jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_a", "doc_b").collect()}
-    assert got == set(brute_pairs(docs))
+    docs = list(enumerate(dict.fromkeys(" ".join(mutate(rng, base, 3, 10_000)) for _ in range(500))))
+    assert text_pairs(spark, spark.createDataFrame(docs, "doc_id long, text string")) == brute_pairs(docs)
+
+
+@pytest.mark.parametrize("t", [0.5, 0.3])
+def test_jaccard_join_of_short_texts_that_share_a_list(spark, t):
+    """One n-gram in all of 3,000 short texts, whose pairs can't be similar unless they share more."""
+    rng = random.Random(9)
+    docs = list(enumerate(dict.fromkeys(f"in the end {' '.join(f'x{rng.randint(0, 400)}' for _ in range(rng.choice([0, 1, 1, 2, 3])))}" for _ in range(900))))
+    assert text_pairs(spark, spark.createDataFrame(docs, "doc_id long, text string"), t) == brute_pairs(docs, t)
+
+
+def test_lists_of_short_texts_make_few_pairs():
+    """A list of 20,000 sets of two n-grams, which hold nothing else that is shared, makes no pair."""
+    many = 20_000
+    ids, pair = np.arange(many, dtype=np.int64), np.full(many, 2, np.int32)
+    row = [7, squeeze(np.full(many, 5, np.uint64)), np.arange(many, dtype=np.uint16), np.ones(many, np.uint16), ids, pair, np.ones(many, np.int32)]
+    row = [row[0], row[1], *(x.tobytes() for x in row[2:])]
+    batch = pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if i == 0 else pa.binary()) for i, v in enumerate(row)], [*"abcdefg"])
+    assert sum(b.num_rows for b in merge([batch], 0.5, 8)) == 0
 
 
 def test_jaccard_edge_cases(spark):
     df = nasty(spark)
-    rows = jaccard_join(df).collect()
-    pairs = sorted((r.doc_a, r.doc_b) for r in rows)
-    assert pairs == [(0, 5), (0, 8), (5, 8)]  # rows of one doc_id don't pair, null doc_ids and texts without words have no pairs
-    assert all(r.jaccard == 1 for r in rows)
-    assert jaccard_join(df.limit(0)).count() == 0
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_classes(df).collect())
+    assert got == brute_classes([(r.doc_id, r.text) for r in df.collect()])
+    assert got[0, 0, 5] == 3 and got[None, 0, 5] == 1 and got[3, 3, 0] == 1 and got[1, 1, 0] == 1
+    assert jaccard_classes(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        jaccard_join(df, t=0)
+        jaccard_classes(df, t=0)
 
 
 def test_components(spark):
@@ -115,7 +162,7 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize("broadcast", [0, 10**6])
+@pytest.mark.parametrize("broadcast", [0, 10**8])
 def test_near_dedup(spark, broadcast):
     rng = random.Random(8)
     bases = [[f"w{rng.randint(0, 500)}" for _ in range(30)] for _ in range(12)]
@@ -125,7 +172,7 @@ def test_near_dedup(spark, broadcast):
         x, y = group[a], group[b]
         group = {k: min(x, y) if v in (x, y) else v for k, v in group.items()}
     df = spark.createDataFrame(rows_of([t for _, t in docs]), DOCS)
-    assert sorted(r.doc_id for r in near_dedup(df, broadcast_rows=broadcast).collect()) == sorted(set(group.values()))
+    assert sorted(r.doc_id for r in near_dedup(df, broadcast_bytes=broadcast).collect()) == sorted(set(group.values()))
 
 
 def test_near_dedup_edge_cases(spark):
