@@ -8,10 +8,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rowforge.llm import repeats
 from rowforge.llm.exact_dedup import exact_dedup, misra_gries, prune
 from rowforge.llm.jaccard import components, jaccard_classes, merge, near_dedup, set_pairs, squeeze
 from rowforge.llm.common import Words, Workspace
-from rowforge.llm.repeats import remove_repeats, repeated_spans, run_hashes
+from rowforge.llm.repeats import pack, remove_repeats, repeated_runs, repeated_spans, run_hashes
 
 from .helpers import DOCS, mutate, nasty, rows_of, words
 
@@ -199,24 +200,99 @@ def brute_windows(rows, window):
     return marked
 
 
-@pytest.mark.parametrize("window", [2, 5, 12])
-def test_repeated_spans(spark, window):
-    rng = random.Random(window)
-    passages = [[f"w{rng.randint(0, 50)}" for _ in range(20)] for _ in range(5)]
+def passages(rng, many=60):
+    shared = [[f"w{rng.randint(0, 50)}" for _ in range(20)] for _ in range(5)]
     texts = []
-    for _ in range(60):
+    for _ in range(many):
         w = []
         for _ in range(rng.randint(0, 4)):
-            w += rng.choice(passages) if rng.random() < 0.5 else [f"x{rng.randint(0, 5000)}" for _ in range(rng.randint(1, 15))]
+            w += rng.choice(shared) if rng.random() < 0.5 else [f"x{rng.randint(0, 5000)}" for _ in range(rng.randint(1, 15))]
         texts.append(" ".join(w))
-    df = spark.createDataFrame(rows_of(texts), DOCS)
+    return texts
+
+
+def marks(rows):
+    """Words of disjoint spans (doc_id, start, end, kept) by (doc_id, kept)."""
     got = defaultdict(set)
-    for r in repeated_spans(df, window).collect():
-        span = set(range(r.start_word, r.end_word))
-        assert not got[r.doc_id, r.kept] & span
-        got[r.doc_id, r.kept] |= span
+    for d, start, end, kept in rows:
+        span = set(range(start, end))
+        assert not got[d, kept] & span
+        got[d, kept] |= span
+    return {k: v for k, v in got.items() if v}
+
+
+@pytest.mark.parametrize("window,hot", [(2, 20_000), (5, 4), (12, 20_000), (12, 2)])
+def test_repeated_spans(spark, window, hot):
+    texts = passages(random.Random(window))
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    spans = repeated_spans(df, window, hot=hot, sample=1).collect()
     want = brute_windows([(i, t) for i, t in enumerate(texts)], window)
-    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    assert marks((r.doc_id, r.start_word, r.end_word, r.kept) for r in spans) == {k: v for k, v in want.items() if v}
+
+
+def ranges_of(texts, window, ranges, hot=None, ids=None):
+    """pack() and repeated_runs() without Spark: batches by range, and the marked words."""
+    by = defaultdict(list)
+    for i in range(0, len(texts), 20_000):
+        t = texts[i : i + 20_000]
+        at = ids[i : i + 20_000] if ids else range(i, i + len(t))
+        batch = pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(t, pa.string()), pa.array([hash(x) for x in t], pa.int64())], ["d", "t", "h"])
+        for b in pack(iter([batch]), window, ranges, hot):
+            for k, n in enumerate(b.column(0).to_pylist()):
+                by[n].append(b.slice(k, 1))
+    spans = set()
+    for own in by.values():
+        for r in repeated_runs(own, window).to_pylist():
+            spans |= {(r["doc_id"], i, r["kept"]) for i in range(r["start"], r["stop"] + 1)}
+    got = defaultdict(set)
+    for d, i, kept in spans:
+        got[d, kept] |= set(range(i, i + window))
+    return by, got
+
+
+def test_windows_are_compared_by_words(monkeypatch):
+    """With all hashes equal, every window meets every other, and only equal words make a repeat."""
+    texts = passages(random.Random(31))
+    texts += texts[:5] + [" \n".join(words(t)) for t in texts[5:9]]
+    monkeypatch.setattr(repeats, "run_hashes", lambda h, size: np.zeros(max(len(h) - size + 1, 0), np.uint64))
+    for window in (3, 8):
+        by, got = ranges_of(texts, window, 4)
+        assert sum(len(x) for x in by.values()) <= 4
+        assert got == brute_windows(list(enumerate(texts)), window)
+
+
+def test_windows_of_many_flushes(monkeypatch):
+    """Runs that are combined within blocks, among them equal rows and rows of one id, still find the first of all."""
+    rng = random.Random(32)
+    texts = passages(rng, 80)
+    texts += [rng.choice(texts) for _ in range(80)]
+    ids = [rng.choice([None, *range(40)]) for _ in texts]
+    monkeypatch.setattr(repeats, "_FLUSH", 200)
+    want = defaultdict(list)
+    rows = sorted({(d, t) for d, t in zip(ids, texts)}, key=lambda r: (r[0] is None, r[0] or 0, hash(r[1])))
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - 5):
+            want[tuple(w[i : i + 6])].append((d, i))
+    marked = defaultdict(set)
+    for at in want.values():
+        for nth, (d, i) in enumerate(at if len(at) > 1 else []):
+            marked[d, nth == 0] |= set(range(i, i + 6))
+    _, got = ranges_of(texts, 6, 3, ids=ids)
+    assert {k: v for k, v in got.items() if v} == marked
+
+
+def test_one_window_in_very_many_documents():
+    """100,000 documents share 50 words: no range gets more than its share, as the passage's windows are combined and those at its ends spread."""
+    shared = " ".join(f"s{i}" for i in range(50))
+    texts = [f"a{i} {shared} b{i}" for i in range(100_000)]
+    keys = [b for b in repeats.minimizers(iter([pa.RecordBatch.from_arrays([pa.array(texts[:2000])], ["t"])]), 50)]
+    hot = np.array([k for b in keys for k, c in zip(*(x.to_pylist() for x in b.columns)) if c > 500], np.int64).view(np.uint64)
+    by, got = ranges_of(texts, 50, 32, np.sort(hot))
+    load = [sum(b.nbytes for b in own) for own in by.values()]
+    held = [sum(len(b.column(8)[0].as_buffer()) // 4 for b in own) for own in by.values()]
+    assert max(load) < 3 * sum(load) / 32 and max(held) < 3 * sum(held) / 32
+    assert got[0, True] == set(range(1, 51)) and len(got) == 100_000 and all(v == set(range(1, 51)) for v in got.values())
 
 
 def test_repeats_of_a_run_longer_than_16_bits(spark):
@@ -243,8 +319,8 @@ def test_remove_repeats(spark):
     shared = " ".join(f"s{i}" for i in range(60))
     texts = [f"alpha beta {shared} gamma", f"delta {shared}\n epsilon", shared, "short text", None, ""]
     df = spark.createDataFrame(rows_of(texts), DOCS)
-    for broadcast in (0, 1000):
-        got = {r.doc_id: r for r in remove_repeats(df, broadcast_rows=broadcast).collect()}
+    for broadcast in (0, 10**8):
+        got = {r.doc_id: r for r in remove_repeats(df, broadcast_bytes=broadcast).collect()}
         assert got[0].text == texts[0] and got[1].text == "delta epsilon" and got[1].n_chars == 13
         assert 2 not in got and got[3].text == "short text" and got[4].text is None and got[5].text == ""
 
