@@ -1,9 +1,10 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A batch of whole texts is cut into words at once, its distinct words are laid out as one array of byte symbols, and an
-inverted index from the rank of a token pair to the positions where it stands applies every merge to all words together, in rank
-order. A merge touches only its positions and their neighbours: the pairs that it makes there enter the index, and those
-that it breaks are found stale when their turn comes. Each distinct word is merged once; its occurrences copy its tokens.
+Whole texts are cut into words, and blocks of texts hand on their distinct words by hash range. A range lays out all distinct
+words that the corpus has there as one array of byte symbols, and an inverted index from the rank of a token pair to the
+positions where it stands applies every merge to all of them together, in rank order. A merge touches only its positions and their
+neighbours: the pairs that it makes there enter the index, and those that it breaks are found stale when their turn comes. So
+each distinct word of the corpus is merged once; the tokens go back to the blocks, whose texts copy those of their words.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers
+from .common import U64, Workspace, buckets, slices, text_buffers, trimmed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SCHEMA = "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean"
@@ -97,10 +100,20 @@ class Vocabulary:
                 if a is not None and b is not None:
                     keys.append(a << 32 | b)
                     joined.append(r)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.joined = np.array(keys, np.int64)[order], np.array(joined, np.int64)[order]
+        self.keys, self.joined = np.array(keys, np.int64), np.array(joined, np.int64)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)  # open addressing
+        left, slot = np.arange(len(keys)), self.slot(self.keys)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]  # of several, one stays
+            out = self.slots[slot] != left
+            left, slot = left[out], (slot[out] + 1) & ((1 << self.bits) - 1)
         self.array = pa.array(tokens, pa.large_binary())
 
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
     @classmethod
     @lru_cache(2)
     def load(cls, path: str) -> Vocabulary:
@@ -111,9 +124,18 @@ class Vocabulary:
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
         key = left << 32 | right
-        i = np.searchsorted(self.keys, key)
-        i[i == len(self.keys)] = 0
-        return np.where(self.keys[i] == key, self.joined[i], -1)
+        slot = self.slot(key)
+        i = self.slots[slot]
+        hit = self.keys[i] == key
+        rank = np.where(hit & (i >= 0), self.joined[i], -1)
+        at = np.flatnonzero(~hit & (i >= 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) & ((1 << self.bits) - 1)
+            i = self.slots[slot[at]]
+            hit = self.keys[i] == key[at]
+            rank[at] = np.where(hit & (i >= 0), self.joined[i], -1)
+            at = at[~hit & (i >= 0)]
+        return rank
 
 
 def replay(vocabulary: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,24 +196,6 @@ def replay(vocabulary: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[n
     return sym[kept], np.searchsorted(kept, off)
 
 
-def encode(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts, and the n + 1 offsets of each text's."""
-    data, off = text_buffers(texts)
-    starts = word_starts(data, off)
-    if not len(starts):
-        return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-    edges = np.append(starts, len(data)).astype(np.int64)
-    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-    ids, ioff = replay(vocabulary, *text_buffers_of_binary(coded.dictionary))
-    ids = ids.astype(np.int32)
-    word = coded.indices.to_numpy()
-    count = np.diff(ioff)[word]
-    done = np.zeros(len(word) + 1, np.int64)
-    np.cumsum(count, out=done[1:])
-    out = ids[np.repeat(ioff[word] - done[:-1], count) + np.arange(done[-1])]
-    return out, done[np.searchsorted(starts, off)]
-
-
 def text_buffers_of_binary(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = words.cast(pa.large_binary())
     off = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
@@ -204,31 +208,127 @@ def decode(ids: np.ndarray, off: np.ndarray, vocabulary: Vocabulary) -> list[byt
     return [body[at[a] : at[b]].tobytes() for a, b in zip(off, off[1:])]
 
 
+_TEXTS = ["block", "docs", "none", "gone", "first", "route", "codes"]
+_WORDS = ["bucket", "block", "words", "sizes"]
+_IDS = ["block", "bucket", "ids", "counts", "sound"]
+STORED = "block long, bucket int, docs binary, none binary, gone binary, first binary, route binary, codes binary, words binary, sizes binary"
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Integers below 2^32 by planes of their bytes, compressed."""
+    x = np.ascontiguousarray(x, np.uint32)
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def unsqueeze(data: pa.Buffer, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+
+
+def cut(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts (doc_id, text): a row with the texts as codes of the block's words, and one for the words of each range."""
+    block = TaskContext.get().partitionId() << 24
+    for b in batches:
+        for part in slices(b, 1):
+            texts, docs = part.column(1), part.column(0)
+            data, off = text_buffers(texts)
+            starts = word_starts(data, off)
+            edges = np.append(starts, len(data)).astype(np.int64)
+            coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+            codes = coded.indices.to_numpy()
+            often = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable")  # small codes are frequent
+            rank = np.empty(len(often), np.int64)
+            rank[often] = np.arange(len(often))
+            words = coded.dictionary.take(pa.array(often))
+            route = np.fromiter((xxhash.xxh3_64_intdigest(w) % ranges for w in words.to_pylist()), np.int64, len(words))
+            none, gone = (x.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() for x in (docs, texts))
+            first = np.searchsorted(starts, off).astype(np.int64).tobytes()
+            rows = [(block, -1, docs.fill_null(0).to_numpy().tobytes(), none, gone, first, squeeze(route), squeeze(rank[codes]), None, None)]
+            order = np.argsort(route, kind="stable")
+            body, at = text_buffers_of_binary(words.take(pa.array(order)))
+            size = np.diff(at)
+            edge = np.append(np.flatnonzero(np.append(True, np.diff(route[order]) != 0)), len(order)) if len(order) else [0]
+            for x, y in zip(edge, edge[1:]):
+                rows.append((block, int(route[order[x]]), *[None] * 6, pa.compress(body[at[x] : at[y]].tobytes(), "zstd", asbytes=True), size[x:y].astype(np.uint32).tobytes()))
+            block += 1
+            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 8)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split()[0] for f in STORED.split(", ")])
+
+
+def merge(batches: list[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Of a range: the tokens of each block's words there, and whether they decode to the word."""
+    blocks, said, sizes = [], [], []
+    for b in batches:
+        for i in range(b.num_rows):
+            sizes.append(np.frombuffer(b.column(3)[i].as_buffer(), np.uint32).astype(np.int64))
+            said.append(pa.decompress(b.column(2)[i].as_buffer(), int(sizes[-1].sum()), "zstd", asbytes=True))
+            blocks.append((b.column(1)[i].as_py(), b.column(0)[i].as_py()))
+    size = np.concatenate(sizes)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(b"".join(said))]).dictionary_encode()
+    data, off = text_buffers_of_binary(coded.dictionary)
+    ids, ioff = replay(vocabulary, data, off)
+    back, at = text_buffers_of_binary(vocabulary.array.take(pa.array(ids)))
+    sound = at[ioff] == off  # where tokens end and words do
+    sound = sound[:-1] & sound[1:]
+    if len(back) != len(data) or not (same := back == data).all():
+        sound &= np.array([len(back) == len(data) and bool(same[x:y].all()) for x, y in zip(off, off[1:])], bool)
+    code, done = coded.indices.to_numpy(), 0
+    count = np.diff(ioff)
+    for (block, bucket), s in zip(blocks, sizes):
+        own = code[done : done + len(s)]
+        done += len(s)
+        n = count[own]
+        flat = ids[np.repeat(ioff[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        row = (block, bucket, squeeze(flat), n.astype(np.uint32).tobytes(), sound[own].astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), *[pa.binary()] * 3))], _IDS)
+
+
+def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """The rows of a block, from its texts' codes and its words' tokens by range."""
+    out = []
+    for i in range(texts.num_rows):
+        said = [texts.column(c)[i].as_buffer() for c in range(1, 7)]
+        docs, none, gone, first = (np.frombuffer(x, k) for x, k in zip(said, (np.int64, np.uint8, np.uint8, np.int64)))
+        rows = sorted(zip(words.column(1).to_pylist(), range(words.num_rows)))
+        counts = [np.frombuffer(words.column(3)[j].as_buffer(), np.uint32).astype(np.int64) for _, j in rows]
+        ids = [unsqueeze(words.column(2)[j].as_buffer(), int(n.sum())) for (_, j), n in zip(rows, counts)]
+        sound = [np.frombuffer(words.column(4)[j].as_buffer(), np.uint8) for _, j in rows]
+        nothing = np.zeros(0, np.int64)
+        counts, ids, sound = (np.concatenate([*x, nothing]) for x in (counts, ids, sound))
+        order = np.argsort(unsqueeze(said[4], len(counts)), kind="stable")
+        many, begin, good = (np.zeros(len(counts), np.int64) for _ in range(3))
+        many[order], begin[order], good[order] = counts, np.cumsum(counts) - counts, sound
+        code = unsqueeze(said[5], int(first[-1]))
+        n = many[code]
+        done = np.append(0, np.cumsum(n))
+        flat = ids[np.repeat(begin[code] - done[:-1], n) + np.arange(done[-1])].astype(np.int32)
+        off, bad = done[first], np.append(0, np.cumsum(good[code] == 0))[first]
+        gone = gone.astype(bool)
+        lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32), mask=np.append(gone, False)), pa.array(flat))
+        out.append(pa.RecordBatch.from_arrays([pa.array(docs, mask=none.astype(bool)), pa.array(np.diff(off), mask=gone), lists, pa.array(np.diff(bad) == 0, mask=gone)], [f.split()[0] for f in SCHEMA.split(", ")]))
+    return pa.Table.from_batches(out)
+
+
 def bpe_encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip): the whole text's tokens, and whether they decode to the text's bytes.
 
     The vocabulary is a file of base64 tokens with their ranks, which every executor must be able to read at ``path``. No
     special tokens: their strings are ordinary text. An empty text has no tokens; a null text has null tokens and a null
-    count. Null doc_ids are reported as null and equal rows each. Other columns, whatever their names, are ignored. No
-    row, no result.
+    count. Null doc_ids are reported as null and equal rows each; a doc_id is an integer. Other columns, whatever their names, are
+    ignored. No row, no result.
     """
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary.load(path)
-        for b in batches:
-            for part in slices(b, 1, 12 << 20):
-                texts = part.column(1)
-                ids, off = encode(texts, vocabulary)
-                data, at = text_buffers(texts)
-                same = [x == data[a:c].tobytes() for x, a, c in zip(decode(ids, off, vocabulary), at, at[1:])]
-                null = texts.is_null()
-                gone = null.to_numpy(zero_copy_only=False)
-                count = pa.array(np.diff(off), mask=gone)
-                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32), mask=np.append(gone, False)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), count, lists, pa.array(same, pa.bool_(), mask=gone)], names)
-
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(run, SCHEMA)
+    work = Workspace(docs.sparkSession, "bpe")
+    ranges = buckets(docs, text, 32 << 20, 1)
+    stored = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(lambda bs: trimmed(cut(bs, ranges)), STORED)
+    stored = work.write(stored, "blocks")
+    words = stored.where("bucket >= 0").select(*_WORDS)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from trimmed(merge(list(batches), Vocabulary.load(path)))
+
+    ids = words.groupBy("bucket").applyInArrow(merged, "block long, bucket int, ids binary, counts binary, sound binary")
+    texts = stored.where("bucket < 0").select(*_TEXTS)
+    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assemble, SCHEMA)
 
 
 def bpe_decode(encoded: DataFrame, path: str = VOCABULARY, ids: str = "token_ids", doc_id: str = "doc_id") -> DataFrame:

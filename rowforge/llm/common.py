@@ -76,10 +76,10 @@ def fits(table: DataFrame, row: int, most: int) -> bool:
     return table.count() * row <= most
 
 
-def buckets(df: DataFrame, text: str, each: int = 16 << 20) -> int:
-    """Hash ranges of a packed shuffle: one for ``each`` bytes of text, which are counted, and one for each of the shuffle's partitions at least."""
+def buckets(df: DataFrame, text: str, each: int = 16 << 20, least: int | None = None) -> int:
+    """Hash ranges of a packed shuffle: one for ``each`` bytes of text, which are counted, and at least ``least``, or one for each of the shuffle's partitions."""
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
-    return max(1, -(-total // each), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, -(-total // each), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if least is None else least)
 
 
 def row_order(df: DataFrame, first: Iterable[str] = ()) -> Column:
