@@ -8,6 +8,7 @@ found is what that matching finds in the whole text, which the tests compare.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,13 +38,12 @@ NOTICES = {
     "reserved": "all rights reserved",
 }
 SCHEMA = "doc_id long, notice string, start long, stop long, edits int"
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def lower(text: str) -> str:
-    """Lower case that keeps every character's place."""
+    """Lower case that keeps every character's place: one that would become several stays as it is."""
     low = text.lower()
-    return low if len(low) == len(text) else text.translate(_LOWER)
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 def errors(notice: str, per: int = 12, most: int = 4) -> int:
@@ -114,7 +114,24 @@ class Scanner:
 
 def closest(found: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
     """Without the finds that overlap one of another notice with fewer edits, as CC BY-NC is also near to CC BY-SA."""
-    return [f for f in found if not any(g[3] < f[3] and g[1] < f[2] and f[1] < g[2] for g in found)]
+    starts: list[int] = []  # of what finds with fewer edits cover, and where it ends
+    stops: list[int] = []
+    kept = set()
+    for edits in sorted({f[3] for f in found}):
+        level = [f for f in found if f[3] == edits]
+        for f in level:
+            i = bisect_right(stops, f[1])
+            if i == len(stops) or starts[i] >= f[2]:
+                kept.add(f)
+        covered = sorted([*zip(starts, stops), *((f[1], f[2]) for f in level)])
+        starts, stops = [], []
+        for a, b in covered:
+            if stops and a <= stops[-1]:
+                stops[-1] = max(stops[-1], b)
+            else:
+                starts.append(a)
+                stops.append(b)
+    return [f for f in found if f in kept]
 
 
 def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", notices: dict[str, str] | None = None) -> DataFrame:
