@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 CHUNK = 64 << 10
+PAGE_CHUNK = 1 << 10  # of the query, whose pages have a few thousand bytes
 BLOCK = 1 << 20
 _FLUSH = 8 << 20
 SCHEMA = "path string, record_id string, type string, uri string, page_id long, chunk_no long, chunk_start long, n_bytes long, digest string, is_last boolean, data binary"
@@ -34,10 +35,10 @@ def clean(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page_id: int | None, url: str | None, body: memoryview, put) -> None:
-    """Write a resource record by ``put``, payload in blocks."""
+def record(page_id: int | None, url: str | None, body: memoryview, put, place: str = "") -> None:
+    """Write a resource record by ``put``, payload in blocks; ``place`` tells records with equal contents apart."""
     digest = hashlib.sha256(body).hexdigest()
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\n{url}\n{digest}")
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{place}\n{page_id}\n{url}\n{digest}")
     head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append(f"WARC-Target-URI: {clean(url)}")
@@ -54,7 +55,8 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     """Write a gzipped file a task under ``folder``, a URI; returns (path, records) of the files when evaluated.
 
     A task that runs again replaces its file with an equal one. A null body has no record; an empty one has an empty
-    payload. A null url or page_id is left out of the header. Equal rows make equal records. No row, no file.
+    payload. A null url or page_id is left out of the header. Equal rows make a record each, with an
+    identifier of its own. No row, no file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +73,7 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
                 if out is None:
                     out = system.open_output_stream(own)
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
-                record(b.column(0)[i].as_py(), b.column(1)[i].as_py(), memoryview(value.as_buffer()), lambda x: out.write(z.compress(x)))
+                record(b.column(0)[i].as_py(), b.column(1)[i].as_py(), memoryview(value.as_buffer()), lambda x: out.write(z.compress(x)), f"{ctx.partitionId()}/{n}")
                 out.write(z.flush())
                 n += 1
         if out is not None:
@@ -207,21 +209,21 @@ def read_warc(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame
 
 
 def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page through a WARC file and back as chunks; the digests tell whether the bytes came back."""
+    """Every page through a WARC file and back as chunks; each chunk's digest covers all bytes up to its end, so the chunks' bytes are left out."""
     work = Workspace(spark, "warc")
     folder = f"{work.path}/files"
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     if not work.write(write_warc(pages, folder), "written").count():
         return spark.createDataFrame([], SCHEMA).select("page_id", "uri", "chunk_no", "chunk_start", "n_bytes", "digest", "is_last")
-    return read_warc(spark, folder).select("page_id", "uri", "chunk_no", "chunk_start", "n_bytes", "digest", "is_last")
+    return read_warc(spark, folder, PAGE_CHUNK).select("page_id", "uri", "chunk_no", "chunk_start", "n_bytes", "digest", "is_last")
 
 
 SQL = f"""
 WITH p AS (SELECT page_id, url, hex(encode(html)) AS h, octet_length(encode(html)) AS n FROM pages WHERE html IS NOT NULL),
-c AS (SELECT *, unnest(range(greatest(1, (n + {CHUNK - 1}) // {CHUNK})::BIGINT)) AS chunk_no FROM p)
-SELECT page_id, url AS uri, chunk_no, (chunk_no * {CHUNK})::BIGINT AS chunk_start,
-       (least(n, (chunk_no + 1) * {CHUNK}) - chunk_no * {CHUNK})::BIGINT AS n_bytes,
-       sha256(unhex(h[1 : 2 * least(n, (chunk_no + 1) * {CHUNK})])) AS digest,
-       (chunk_no + 1) * {CHUNK} >= n AS is_last
+c AS (SELECT *, unnest(range(greatest(1, (n + {PAGE_CHUNK - 1}) // {PAGE_CHUNK})::BIGINT)) AS chunk_no FROM p)
+SELECT page_id, url AS uri, chunk_no, (chunk_no * {PAGE_CHUNK})::BIGINT AS chunk_start,
+       (least(n, (chunk_no + 1) * {PAGE_CHUNK}) - chunk_no * {PAGE_CHUNK})::BIGINT AS n_bytes,
+       sha256(unhex(h[1 : 2 * least(n, (chunk_no + 1) * {PAGE_CHUNK})])) AS digest,
+       (chunk_no + 1) * {PAGE_CHUNK} >= n AS is_last
 FROM c
 """
