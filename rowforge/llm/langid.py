@@ -132,8 +132,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
 def identify(docs: DataFrame, filters: Filters, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, lang_id, score, margin): the language with the highest corrected share of the whole text's n-grams, and its lead.
 
-    Of equal shares the language that sorts first is taken, with margin 0. A null text and one of fewer bytes than an n-gram
-    have no language: null, with score and margin 0. Null doc_ids are reported as null, equal rows each. Other columns,
+    Of equal shares the language that sorts first is taken, with margin 0. A null text, one of fewer bytes than an n-gram, and
+    one of which no language has more n-grams than its filter's false positives account for, have no language: null, with
+    score and margin 0. Null doc_ids are reported as null, equal rows each. Other columns,
     whatever their names, are ignored. Without filters no row has a language. No row, no result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # a megabyte or eight, whatever the corpus
@@ -154,7 +155,7 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text", doc_id: str
                 rest = score.copy()
                 rest[np.arange(n), best] = -np.inf
                 lead = top - (rest.max(1) if len(own.languages) > 1 else 0)
-                none = count == 0
+                none = (count == 0) | (top <= 0)
                 best[none], top[none], lead[none] = -1, 0, 0
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs[best], pa.string()), pa.array(top), pa.array(lead)], names)
 
