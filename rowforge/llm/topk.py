@@ -1,10 +1,13 @@
 """Exact top-k search by block-at-a-time pruning.
 
-One pass over the texts makes a forward index of blocks of documents, which keeps the batch of queries' terms, and the
-counts that BM25 needs from all documents. A block's term maxima, summed over a query's terms, bound the score of any
-document in it. A first pass over the index scores each query's best block of every part; the kth best of those scores is
-a floor that all tasks share. The second pass takes each query's blocks in falling order of bound, scores them through the
-forward index, and stops at the first whose bound is below the kth score. Scores are integers, millionths of a BM25
+One pass over the texts makes the index, of all terms, once for all queries. It has a row for each block of documents: their
+sizes, their forward index, and for each of the block's terms how many documents have it, its highest count in one of them and
+the least size of those. Documents of a piece of input are put in blocks by size, so that these two bound a term's
+weight closely whatever the corpus's mean size and document frequencies will be. A block's term maxima, summed over a query's
+terms, bound the score of any document in it. A first pass scores each query's best block of every part; the kth best of
+those scores is a floor that all tasks share. The second pass takes each query's blocks in falling order of bound, scores them
+through the forward index, and stops at the first whose bound is below the kth score. A block's forward index is decoded
+when the first query scores it, so blocks that no query needs are never scored. Scores are integers, millionths of a BM25
 weight, so sums don't depend on order and ties are ties.
 """
 
@@ -24,8 +27,9 @@ from .common import Workspace, slices
 
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 BLOCK = 256  # documents
-PART = 256  # blocks in memory at once
-_LAST = np.iinfo(np.int64).max  # a null doc_id sorts last
+HELD = 64 << 20  # bytes of term maxima in memory at once
+BATCH = 32 << 20  # bytes of queries that are answered together
+INDEX = "many long, total long, docs binary, none binary, sizes binary, terms array<string>, found binary, most binary, least binary, offsets binary, ids binary, counts binary"
 
 
 def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -37,163 +41,206 @@ def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), owner[full.to_numpy(zero_copy_only=False)]
 
 
-def forward(batches: Iterator[pa.RecordBatch], vocabulary: pa.Array) -> Iterator[pa.RecordBatch]:
-    """(doc_id, size, ids, counts) of (doc_id, text): how many terms, and those of the vocabulary with their counts."""
-    many = len(vocabulary)
+def index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The index's rows for (doc_id, text)."""
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.string()), *[pa.binary()] * 6)
+    names = [f.split()[0] for f in INDEX.split(", ")]
     for b in batches:
         for part in slices(b, 1):
             words, owner = terms(part.column(1))
             n = part.num_rows
             size = np.bincount(owner, minlength=n)
+            by_size = np.argsort(size, kind="stable")
+            rank = np.empty(n, np.int64)
+            rank[by_size] = np.arange(n)
             coded = words.dictionary_encode()
-            known = pc.index_in(coded.dictionary, value_set=vocabulary.cast(pa.large_string())).fill_null(-1).to_numpy(zero_copy_only=False)
-            own = known[coded.indices.to_numpy()] if len(coded.dictionary) else np.zeros(0, np.int64)
-            hit = own >= 0
-            key, count = np.unique(owner[hit].astype(np.int64) * max(many, 1) + own[hit], return_counts=True)
-            off = np.searchsorted(key, np.arange(n + 1, dtype=np.int64) * max(many, 1)).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(off), pa.array((key % max(many, 1)).astype(np.int32)))
-            counts = pa.ListArray.from_arrays(pa.array(off), pa.array(count.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), ids, counts], ["doc_id", "size", "ids", "counts"])
+            many = max(len(coded.dictionary), 1)
+            key, count = np.unique(rank[owner] * many + coded.indices.to_numpy(), return_counts=True)
+            off, code = np.searchsorted(key, np.arange(n + 1) * many), key % many
+            docs, none = part.column(0).fill_null(0).to_numpy()[by_size], part.column(0).is_null().to_numpy(zero_copy_only=False)[by_size]
+            size = size[by_size]
+            for a in range(0, n, BLOCK):
+                z = min(a + BLOCK, n)
+                lo, hi = off[a], off[z]
+                own, ids, found = np.unique(code[lo:hi], return_inverse=True, return_counts=True)
+                order = np.argsort(ids, kind="stable")
+                head = np.cumsum(found) - found
+                most = np.maximum.reduceat(count[lo:hi][order], head) if len(own) else own
+                least = np.minimum.reduceat(np.repeat(size[a:z], np.diff(off[a : z + 1]))[order], head) if len(own) else own
+                arrays = (docs[a:z], none[a:z].astype(np.uint8), size[a:z].astype(np.int64)), (found, most, least, off[a : z + 1] - lo, ids, count[lo:hi])
+                row = (z - a, int(size[a:z].sum()), *(x.tobytes() for x in arrays[0]), coded.dictionary.take(pa.array(own)).to_pylist(), *(x.astype(np.int32).tobytes() for x in arrays[1]))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
+
+
+class Queries:
+    """The terms of some queries as codes of their vocabulary."""
+
+    def __init__(self, texts: list[str | None]):
+        words, owner = terms(pa.array(texts, pa.string()))
+        coded = words.dictionary_encode()
+        self.vocabulary = coded.dictionary.cast(pa.string())
+        pair = np.unique(owner.astype(np.int64) * max(len(self.vocabulary), 1) + coded.indices.to_numpy())
+        self.flat = pair % max(len(self.vocabulary), 1)
+        self.off = np.searchsorted(pair // max(len(self.vocabulary), 1), np.arange(len(texts) + 1))
+
+    def __len__(self) -> int:
+        return len(self.off) - 1
+
+    def codes(self, terms: pa.Array) -> np.ndarray:
+        """The code of each term, or -1."""
+        return pc.fill_null(pc.index_in(terms, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def bounds(self, peak: np.ndarray) -> np.ndarray:
+        """Of each query the sum of its terms' maxima."""
+        upto = np.append(0, np.cumsum(peak[self.flat]))
+        return upto[self.off[1:]] - upto[self.off[:-1]]
 
 
 class Best:
-    """A query's best k so far: higher score first, then smaller doc_id."""
+    """A query's best k so far: higher score first, then smaller doc_id, nulls last."""
 
     def __init__(self, k: int, floor: int):
         self.k, self.floor = k, max(floor, 1)
-        self.score, self.doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.score, self.none, self.doc = (np.zeros(0, np.int64) for _ in range(3))
 
-    def offer(self, score: np.ndarray, doc: np.ndarray) -> None:
+    def offer(self, score: np.ndarray, none: np.ndarray, doc: np.ndarray) -> None:
         good = score >= self.floor
         if not good.any():
             return
-        s, d = np.concatenate([self.score, score[good]]), np.concatenate([self.doc, doc[good]])
-        order = np.lexsort((d, -s))[: self.k]
-        self.score, self.doc = s[order], d[order]
+        s, z, d = (np.concatenate([x, y[good]]) for x, y in ((self.score, score), (self.none, none), (self.doc, doc)))
+        order = np.lexsort((d, z, -s))[: self.k]
+        self.score, self.none, self.doc = s[order], z[order], d[order]
         if len(order) == self.k:
             self.floor = max(self.floor, int(self.score[-1]))
 
 
-class Blocks:
-    """Forward indexes of some blocks and, for each query, their bounds."""
-
-    def __init__(self, doc: np.ndarray, size: np.ndarray, off: np.ndarray, ids: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float, queries: list[np.ndarray]):
-        length = np.repeat(size, np.diff(off)).astype(np.float64)
-        weight = idf[ids] * (counts * (K1 + 1.0)) / (counts + K1 * (1.0 - B + B * length / mean))
-        impact = np.floor(weight * UNIT + 0.5).astype(np.int64)
-        self.doc, self.queries, many = doc, queries, len(idf)
-        self.cuts = list(range(0, len(doc), BLOCK))
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows and impacts by term, and where each term's begin
-        peak = np.zeros((len(self.cuts), many), np.int64)
-        for i, a in enumerate(self.cuts):
-            b = min(a + BLOCK, len(doc))
-            lo, hi = off[a], off[b]
-            order = np.argsort(ids[lo:hi], kind="stable")
-            term, score = ids[lo:hi][order], impact[lo:hi][order]
-            row = np.repeat(np.arange(b - a), np.diff(off[a : b + 1]))[order]
-            self.tables.append((row, score, np.searchsorted(term, np.arange(many + 1))))
-            if len(term):
-                head = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-                peak[i, term[head]] = np.maximum.reduceat(score, head)
-        self.bounds = np.array([peak[:, q].sum(1) for q in queries]) if queries else np.zeros((0, len(self.cuts)), np.int64)
-
-    def score(self, query: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-        row, impact, begin = self.tables[block]
-        a, own = self.cuts[block], self.queries[query]
-        doc = self.doc[a : a + BLOCK]
+def weight(idf: np.ndarray, count: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weights in millionths, which rise with the count and fall with the size."""
+    return np.floor(idf * (count * (K1 + 1.0)) / (count + K1 * (1.0 - B + B * size / mean)) * UNIT + 0.5).astype(np.int64)
+
+
+class Block:
+    """A row of the index: its term maxima at once, its forward index when it is first scored."""
+
+    decoded = 0  # blocks whose forward index was read, of this process
+
+    def __init__(self, row: dict, queries: Queries, idf: np.ndarray, mean: float):
+        self.row, self.idf, self.mean = row, idf, mean
+        self.known = queries.codes(row["terms"].values)
+        own = self.known >= 0
+        self.peak = np.zeros(max(len(idf), 1), np.int64)
+        most, least = (np.frombuffer(row[c].as_buffer(), np.int32)[own] for c in ("most", "least"))
+        self.peak[self.known[own]] = weight(idf[self.known[own]], most, least, mean)
+        self.table: tuple | None = None
+
+    def score(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of all documents for a query's terms, with what tells the documents apart."""
+        if self.table is None:
+            Block.decoded += 1
+            of = lambda c, t: np.frombuffer(self.row[c].as_buffer(), t)
+            size, off = of("sizes", np.int64), of("offsets", np.int32)
+            term = self.known[of("ids", np.int32)]
+            hit = np.flatnonzero(term >= 0)
+            hit = hit[np.argsort(term[hit], kind="stable")]
+            row = np.repeat(np.arange(len(size)), np.diff(off))[hit]
+            term = term[hit]
+            impact = weight(self.idf[term], of("counts", np.int32)[hit].astype(np.float64), size[row].astype(np.float64), self.mean)
+            self.table = row, impact, np.searchsorted(term, np.arange(len(self.idf) + 1)), of("none", np.uint8).astype(np.int64), of("docs", np.int64)
+        row, impact, begin, none, docs = self.table
         count = begin[own + 1] - begin[own]
         at = np.repeat(begin[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.bincount(row[at], impact[at], len(doc)).astype(np.int64), doc  # sums of integers far below 2^53
+        return np.bincount(row[at], impact[at], len(docs)).astype(np.int64), none, docs  # sums of integers far below 2^53
 
 
-def search(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, queries: list[np.ndarray], k: int, floors: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def search(batches: Iterator[pa.RecordBatch], queries: Queries, idf: np.ndarray, mean: float, k: int, floors: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """A part's best k of each query; without floors, of each query's best blocks alone."""
     best = [Best(k, 0 if floors is None else int(floors[q])) for q in range(len(queries))]
+    most = max(1, HELD // (16 * max(len(idf), len(queries), 1)))
 
-    def run(held: list[pa.RecordBatch]) -> None:
-        t = pa.Table.from_batches(held).combine_chunks()
-        lists = t.column(2).combine_chunks()
-        off = np.zeros(len(t) + 1, np.int64)
-        np.cumsum(lists.value_lengths().to_numpy(), out=off[1:])
-        doc = pc.fill_null(t.column(0), _LAST).to_numpy()
-        flat = lists.flatten().to_numpy(), t.column(3).combine_chunks().flatten().to_numpy()
-        blocks = Blocks(doc, t.column(1).to_numpy(), off, *flat, idf, mean, queries)
+    def run(blocks: list[Block]) -> None:
+        bounds = np.array([queries.bounds(x.peak) for x in blocks])
         for q, own in enumerate(best):
-            bounds = blocks.bounds[q]
-            for block in np.argsort(-bounds, kind="stable"):
-                if bounds[block] < own.floor:
-                    break
-                own.offer(*blocks.score(q, block))
-                if floors is None:
+            at = queries.flat[queries.off[q] : queries.off[q + 1]]
+            mine = bounds[:, q]
+            for i in [int(mine.argmax())] if floors is None else np.argsort(-mine, kind="stable"):
+                if mine[i] < own.floor:
                     break
+                own.offer(*blocks[i].score(at))
 
-    held, rows = [], 0
+    held: list[Block] = []
     for b in batches:
-        at = 0
-        while at < b.num_rows:
-            part = b.slice(at, BLOCK * PART - rows)
-            held.append(part)
-            at, rows = at + part.num_rows, rows + part.num_rows
-            if rows == BLOCK * PART:
+        for i in range(b.num_rows):
+            held.append(Block({n: b.column(j)[i] for j, n in enumerate(b.schema.names)}, queries, idf, mean))
+            if len(held) == most:
                 run(held)
-                held, rows = [], 0
+                held = []
     if held:
         run(held)
     q = np.repeat(np.arange(len(best)), [len(x.score) for x in best])
-    doc = np.concatenate([x.doc for x in best]) if best else np.zeros(0, np.int64)
-    score = np.concatenate([x.score for x in best]) if best else np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(doc, mask=doc == _LAST), pa.array(score)], ["query", "doc_id", "score"])
+    doc, none, score = (np.concatenate([np.zeros(0, np.int64), *(getattr(x, c) for x in best)]) for c in ("doc", "none", "score"))
+    yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(doc, mask=none > 0), pa.array(score)], ["query", "doc_id", "score"])
 
 
-def _batch(docs: DataFrame, rows: list, k: int, work: Workspace, name: str) -> DataFrame:
-    spark = docs.sparkSession
-    words, owner = terms(pa.array([r["text"] for r in rows], pa.string()))
-    coded = words.dictionary_encode()
-    vocabulary, code = coded.dictionary.cast(pa.string()), coded.indices.to_numpy()
-    queries = [np.unique(code[owner == i]) for i in range(len(rows))]
-    index = work.write(docs.mapInArrow(lambda bs: forward(bs, vocabulary), "doc_id long, size long, ids array<int>, counts array<int>"), f"index-{name}")
-
-    total = index.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
-    n, mean = total["n"], max((total["size"] or 0) / max(total["n"], 1), 1e-9)
-    found = index.select(F.explode("ids").alias("id")).groupBy("id").count().collect()  # at most the vocabulary
-    df = np.zeros(len(vocabulary))
+def frequencies(batches: Iterator[pa.RecordBatch], queries: Queries) -> Iterator[pa.RecordBatch]:
+    """In how many documents of a part each of the queries' terms is, from (terms, found)."""
+    df = np.zeros(max(len(queries.vocabulary), 1), np.int64)
+    for b in batches:
+        for i in range(b.num_rows):
+            code = queries.codes(b.column(0)[i].values)
+            df[code[code >= 0]] += np.frombuffer(b.column(1)[i].as_buffer(), np.int32)[code >= 0]
+    has = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(df[has])], ["id", "df"])
+
+
+def _answer(index: DataFrame, total: tuple[int, float], rows: list, k: int) -> DataFrame:
+    spark, (n, mean) = index.sparkSession, total
+    queries = Queries([r["text"] for r in rows])
+    found = index.select("terms", "found").mapInArrow(lambda bs: frequencies(bs, queries), "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect()  # at most the queries' vocabulary
+    df = np.zeros(max(len(queries.vocabulary), 1))
     for r in found:
-        df[r["id"]] = r["count"]
+        df[r["id"]] = r["df"]
     idf = np.array([math.log(1.0 + (n - x + 0.5) / (x + 0.5)) for x in df])
 
     out = "query int, doc_id long, score long"
-    seeds = index.mapInArrow(lambda bs: search(bs, idf, mean, queries, k, None), out)
     rank = lambda: F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").isNull(), "doc_id"))
+    seeds = index.mapInArrow(lambda bs: search(bs, queries, idf, mean, k, None), out)
     floors = np.zeros(len(rows), np.int64)
     for r in seeds.withColumn("nth", rank()).where(F.col("nth") == k).collect():  # one row a query
         floors[r["query"]] = r["score"]
-    hits = index.mapInArrow(lambda bs: search(bs, idf, mean, queries, k, floors), out).withColumn("rank", rank()).where(F.col("rank") <= k)
+    hits = index.mapInArrow(lambda bs: search(bs, queries, idf, mean, k, floors), out).withColumn("rank", rank()).where(F.col("rank") <= k)
     names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], "query int, item_id long")
     return hits.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", F.col("score").alias("score_e6"))
 
 
 def top_k(
-    docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", doc_id: str = "doc_id", query_text: str = "text", query_id: str = "item_id", batch: int = 1024
+    docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", doc_id: str = "doc_id", query_text: str = "text", query_id: str = "item_id", batch_bytes: int = BATCH
 ) -> DataFrame:
     """(item_id, rank, doc_id, score_e6): for each query, the k documents with the highest BM25 scores, exactly.
 
     Terms are lower-cased runs of letters and digits; a query's repeated term counts once. A document must score above 0,
     so a query may have fewer than k rows, and one without terms (null or empty) has none. Equal scores are ranked by
     doc_id, nulls last. Null and empty documents count among the documents and are never found. Equal documents are each
-    found, and equal queries each answered. No document or no query, no row. Other columns are ignored. Queries are taken
-    ``batch`` at a time or so, which bounds what a task holds; each batch reads the texts once.
+    found, and equal queries each answered. No document or no query, no row. Identifiers are integers. Other columns are ignored.
+    The texts are read once. Queries of ``batch_bytes`` together, or so, read the index, which bounds what a task holds.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "topk")
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     asked = queries.select(F.col(f"`{query_id}`").cast("long").alias("item_id"), F.col(f"`{query_text}`").alias("text")).where("text IS NOT NULL")
-    parts = math.ceil(asked.count() / batch)
+    size = asked.agg(F.sum(F.octet_length("text") + 64).cast("long")).first()[0] or 0
+    parts = -(-size // batch_bytes)
     out = spark.createDataFrame([], "item_id long, rank int, doc_id long, score_e6 long")
+    if not parts:
+        return out
+    index = work.write(slim.mapInArrow(index_blocks, INDEX), "index")
+    total = index.agg(F.sum("many").alias("n"), F.sum("total").alias("size")).first()
+    if not total["n"]:
+        return out
     for i in range(parts):
-        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect()  # about batch rows
+        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect()  # about batch_bytes
         if rows:
-            got = _batch(slim, rows, k, work, str(i))
-            out = got if i == 0 or parts == 1 else out.unionByName(got)
+            got = _answer(index, (total["n"], max(total["size"] / total["n"], 1e-9)), rows, k)
+            out = got if parts == 1 else out.unionByName(got)
     return out
 
 

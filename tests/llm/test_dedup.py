@@ -28,12 +28,12 @@ def test_misra_gries_keeps_what_is_frequent():
     assert prune({1: 3, 2: 2, 3: 1}, 2) == {1: 2, 2: 1}
 
 
-@pytest.mark.parametrize("counters,least,broadcast", [(1024, 16, 10**6), (2, 2, 10**6), (4, 3, 0)])
+@pytest.mark.parametrize("counters,least,broadcast", [(1024, 16, 10**8), (2, 2, 10**8), (4, 3, 0)])
 def test_exact_dedup(spark, counters, least, broadcast):
     rng = random.Random(2)
     texts = [rng.choice([None, "", "hot", "hot", "hot", *(f"t{i}" for i in range(40))]) for _ in range(400)]
     df = spark.createDataFrame(rows_of(texts, [rng.randint(0, 10**6) for _ in texts]), DOCS)
-    got = exact_dedup(df, counters=counters, least=least, broadcast_rows=broadcast).collect()
+    got = exact_dedup(df, counters=counters, least=least, broadcast_bytes=broadcast).collect()
     first = {}
     for r in df.collect():
         if r.text is not None:

@@ -230,6 +230,46 @@ def test_quality_cut_is_a_quantile_of_all_scores(spark):
     assert all(r.keep == (r.score >= ranker.cut) for r in rows)
 
 
+def test_quality_against_plain_python(spark):
+    """Features, pairs, weights, level and cut recomputed without Spark; the query's rows are those that reach the cut."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = spark.createDataFrame([(10**9, "", "en", "web", 0), (10**9 + 1, None, "en", "web", 0), (10**9 + 2, "ÄB x" * 3 + " \n\n" + "y" * 40, "en", "web", 0)], DOCS)
+    docs = docs.unionByName(odd)
+
+    def of(text):
+        t, w = text or "", words(text)
+        n, chars = max(len(w), 1), max(len(t), 1)
+        share = lambda pattern: math.sqrt(len(regex.findall(pattern, t)) / chars)
+        solid = sum(map(len, w))
+        return [share(r"[#$%&*|!<>{}=+~^@\\/_\[\]]"), share(r"\p{Lu}"), share("[0-9]"), share("[.?,;:]"), len(set(w)) / n, min(solid / n, 30), sum(len(x) > 20 for x in w) / n, math.log1p(n), math.log1p(n / (t.count("\n") + 1))]
+
+    x = {r.doc_id: of(r.text) for r in docs.collect()}
+    good = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            good[r.doc_id] = min(good.get(r.doc_id, 1), int(r.quality > 0))
+    rows = sorted((good[d], d) for d in x if d in good)
+    a, g = np.array([x[d] for _, d in rows]), np.array([q == 1 for q, _ in rows])
+    rng = np.random.default_rng(7)
+    i, j = rng.choice(np.flatnonzero(g), 5000), rng.choice(np.flatnonzero(~g), 5000)
+    centre, scale = a.mean(0), np.where(a.std(0) < 1e-9, 1, a.std(0))
+    d = (a[i] - a[j]) / scale
+    w = np.zeros(a.shape[1])
+    for _ in range(50):  # Newton's steps on the logistic loss
+        q = 1 / (1 + np.exp(d @ w))
+        w -= np.linalg.solve((d * (q * (1 - q))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), -(d * q[:, None]).mean(0) + 1e-3 * w)
+    score = {k: float(((np.array(v) - centre) / scale) @ w) for k, v in x.items()}
+    known = [(score[k], bool(v)) for k, v in good.items() if k in score]
+    wrong = lambda c: sum((s >= c) != v for s, v in known)
+    best = min([s for s, _ in known] + [math.inf], key=lambda c: (wrong(c), c))
+    cut = sorted(score.values())[sum(s < best for s, _ in known) * len(score) // len(known)]
+    got = {r.doc_id: r.score for r in quality.quality_filter(docs, labels, score="score", only=["doc_id"], pairs=5000).collect()}
+    sure = {k for k, s in score.items() if abs(s - cut) > 1e-3}
+    assert len(sure) > 0.95 * len(score) and {k for k in got if k in sure} == {k for k in sure if score[k] >= cut}
+    assert all(got[k] == pytest.approx(score[k], abs=1e-3) for k in got)
+
+
 def test_level_and_quantile_over_partitions(spark):
     rng = random.Random(8)
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # else these few rows are one partition
@@ -277,7 +317,17 @@ def brute_scan(text, notices):
         k = licenses.errors(notice)
         for m in regex.finditer(f"(?e)(?:{regex.escape(notice, special_only=True)}){{e<={k}}}", low):
             out.append((name, m.start(), m.end(), sum(m.fuzzy_counts)))
-    return sorted(licenses.closest(out))
+    return sorted(f for f in out if not any(g[3] < f[3] and g[1] < f[2] and f[1] < g[2] for g in out))
+
+
+def test_closest_of_very_many_finds():
+    rng = random.Random(41)
+    for _ in range(200):
+        found = [(rng.choice("ab"), a, a + rng.randint(1, 9), rng.randint(0, 4)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 12)))]
+        assert licenses.closest(found) == [f for f in found if not any(g[3] < f[3] and g[1] < f[2] and f[1] < g[2] for g in found)]
+    scanner, began = licenses.Scanner(licenses.NOTICES), time.monotonic()
+    assert len(scanner.scan("x all rights reserved. licensed under cc by-sa 4.0, " * 20_000)) == 40_000
+    assert time.monotonic() - began < 30
 
 
 def test_license_scan_finds_what_the_whole_text_search_finds():
@@ -292,7 +342,7 @@ def test_license_scan_finds_what_the_whole_text_search_finds():
                 n[rng.randrange(len(n))] = rng.choice("abz ")
             parts.append("".join(n))
         text = ". ".join(parts)
-        assert {f[0] for f in scanner.scan(text)} == {f[0] for f in brute_scan(text, notices)}
+        assert sorted(scanner.scan(text)) == brute_scan(text, notices)
 
 
 def test_license_spans(spark):
@@ -322,6 +372,33 @@ def test_langid_scores_match_sets():
     assert score[0, 0] > 0.5 > score[0, 1] and score[1, 1] > score[1, 0]
 
 
+def test_langid_against_sets(spark):
+    """Slots, popcounts, the correction for false positives and the decision, recomputed one n-gram at a time."""
+    rng = random.Random(42)
+    letters = {"a": "abcdefgh", "b": "efghijkl", "c": "ijklmnop"}
+    texts = [(i, "".join(rng.choice(letters[c]) for _ in range(rng.randint(0, 60)))) for i in range(90) for c in [rng.choice("abc")]] + [(90, "漢字漢字漢字"), (91, None), (92, "qrs")]
+    given = {c: {"".join(rng.choice(x) for _ in range(4)) for _ in range(300)} for c, x in letters.items()}
+    code = lambda g: int.from_bytes(g.encode(), "little")
+    bits, hashes = 11, 3
+    filters = langid.Filters.build({c: np.array([code(g) for g in gs], np.uint32) for c, gs in given.items()}, bits=bits, hashes=hashes)
+    where = lambda k: [(k * int(langid._ODD[i]) & (1 << 64) - 1) >> 64 - bits for i in range(hashes)]
+    held = {c: {s for g in gs for s in where(code(g))} for c, gs in given.items()}
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), filters).collect()}
+    for d, t in texts:
+        raw = (t or "").lower().encode()
+        own = [int.from_bytes(raw[i : i + 4], "little") for i in range(len(raw) - 3)]
+        score = {}
+        for c in given:
+            false = (len(held[c]) / 2**bits) ** hashes
+            score[c] = (sum(all(s in held[c] for s in where(k)) for k in own) - len(own) * false) / max(len(own), 1) / (1 - false)
+        first, second = sorted(score, key=lambda c: (-score[c], c))[:2]
+        if score[first] <= 0:
+            assert (got[d].lang_id, got[d].score, got[d].margin) == (None, 0, 0)
+        else:
+            assert got[d].lang_id == first and got[d].score == pytest.approx(score[first]) and got[d].margin == pytest.approx(score[first] - score[second])
+    assert got[90].lang_id is None and sum(r.lang_id is not None for r in got.values()) > 60
+
+
 def pc_fill(texts):
     import pyarrow.compute as pc
 
@@ -404,15 +481,36 @@ def brute_top(docs, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k,batch", [(1, 1024), (7, 1024), (1000, 3)])
+@pytest.mark.parametrize("k,batch", [(1, 10**6), (7, 10**6), (1000, 400)])
 def test_top_k(spark, k, batch):
     rng = random.Random(k)
     docs = [(i, " ".join(f"t{int(rng.expovariate(0.15))}" for _ in range(rng.randint(0, 40)))) for i in range(900)]
     queries = [(i, " ".join(f"T{rng.randint(0, 30)}" for _ in range(rng.randint(0, 5)))) for i in range(12)]
-    got = topk.top_k(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(queries, "item_id long, text string"), k, batch=batch)
+    got = topk.top_k(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(queries, "item_id long, text string"), k, batch_bytes=batch)
     assert sorted((r.item_id, r.rank, r.doc_id, r.score_e6) for r in got.collect()) == brute_top(docs, queries, k)
 
 
+def test_top_k_leaves_blocks_unscored():
+    """Of 40 blocks of one part, those that can't reach the kth score are skipped before their forward index is decoded."""
+    rng = random.Random(51)
+    docs = [(i, " ".join(f"t{int(rng.expovariate(0.05))}" for _ in range(20)) + (" rare thing" if i % 997 == 5 else "")) for i in range(40 * topk.BLOCK)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs[a : a + 2048]]), pa.array([t for _, t in docs[a : a + 2048]])], ["d", "t"]) for a in range(0, len(docs), 2048)]
+    index = list(topk.index_blocks(iter(batches)))
+    asked = [(1, "rare thing t3"), (2, "Thing"), (3, "nowhere")]
+    queries = topk.Queries([t for _, t in asked])
+    df = np.zeros(len(queries.vocabulary))
+    for b in topk.frequencies(iter(pa.RecordBatch.from_arrays([b.column("terms"), b.column("found")], ["t", "f"]) for b in index), queries):
+        df[b.column(0).to_numpy()] += b.column(1).to_numpy()
+    size = [len(t.split()) for _, t in docs]
+    idf = np.array([math.log(1 + (len(docs) - x + 0.5) / (x + 0.5)) for x in df])
+    before = topk.Block.decoded
+    got = [b for b in topk.search(iter(index), queries, idf, sum(size) / len(docs), 5, np.zeros(3, np.int64))][0].to_pylist()
+    assert len(index) == 40 and 0 < topk.Block.decoded - before < 20
+    rows = sorted((asked[r["query"]][0], -r["score"], r["doc_id"]) for r in got)
+    want = brute_top(docs, asked, 5)
+    assert rows == sorted((q, -s, d) for q, _, d, s in want)
+
+
 def test_top_k_edge_cases(spark):
     df = nasty(spark)
     queries = spark.createDataFrame([(1, "a b zzz", 1), (2, None, 1), (3, "", 1), (1, "a b zzz", 1), (4, "done", 1)], "item_id long, text string, rank int")
