@@ -1,7 +1,7 @@
 """Quality classifier: Bradley-Terry ranking of documents from preference pairs.
 
 A labelled good document is preferred to a labelled bad one. The score is linear in features that Spark computes from the
-whole text with built-in functions; its weights minimise the logistic loss of feature differences over preference pairs.
+whole text with built-in functions, once for each row; its weights minimise the logistic loss of feature differences over preference pairs.
 The cut is a quantile of the scores of all documents, at the level that parts all labelled ones with the least error. Only
 the weights are computed on the driver, from a bounded sample of labelled rows.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh
 
 FEATURES = ("symbols", "capitals", "digits", "ends", "distinct", "word_length", "long_words", "log_words", "line_words")
 
@@ -24,20 +24,19 @@ FEATURES = ("symbols", "capitals", "digits", "ends", "distinct", "word_length",
 def features(text: str) -> list[Column]:
     """Columns f0, f1, ... of a text column; a null or empty text has those of the empty string, all finite."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    count = lambda regex: F.regexp_count(t, F.lit(regex))
     chars = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.filter(F.split(t, r"[ \t\n\f\r]+"), lambda w: w != "")
-    n = F.greatest(F.size(words), F.lit(1)).cast("double")
-    share = lambda regex: F.regexp_count(t, F.lit(regex)) / chars
+    n = F.greatest(count(r"[^ \t\n\f\r]+"), F.lit(1)).cast("double")
     cols = [
-        F.sqrt(share(r"[#$%&*|!<>{}=+~^@\\/_\[\]]")),
-        F.sqrt(share(r"\p{Lu}")),
-        F.sqrt(share(r"[0-9]")),
-        F.sqrt(share(r"[.?,;:]")),
-        F.size(F.array_distinct(words)) / n,
-        F.least(F.length(F.regexp_replace(t, r"[ \t\n\f\r]+", "")) / n, F.lit(30.0)),
-        F.size(F.filter(words, lambda w: F.length(w) > 20)) / n,
+        F.sqrt(count(r"[#$%&*|!<>{}=+~^@\\/_\[\]]") / chars),
+        F.sqrt(count(r"\p{Lu}") / chars),
+        F.sqrt(count(r"[0-9]") / chars),
+        F.sqrt(count(r"[.?,;:]") / chars),
+        F.size(F.array_distinct(F.array_remove(F.split(t, r"[ \t\n\f\r]+"), ""))) / n,
+        F.least((F.length(t) - count(r"[ \t\n\f\r]")) / n, F.lit(30.0)),
+        count(r"[^ \t\n\f\r]{21,}") / n,
         F.log1p(n),
-        F.log1p(n / (F.regexp_count(t, F.lit("\n")) + 1)),
+        F.log1p(n / (count("\n") + 1)),
     ]
     return [c.cast("double").alias(f"f{i}") for i, c in enumerate(cols)]
 
@@ -150,15 +149,18 @@ def score_at(scores: DataFrame, rank: int) -> float:
     return float((bits ^ ((bits >> np.int64(63)) & np.int64(np.iinfo(np.int64).max))).view(np.float64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", per_class: int = 8000, pairs: int = 200_000, seed: int = 7) -> Ranker | None:
-    """A ranker from at most ``per_class`` labelled documents of each quality and ``pairs`` preference pairs among them.
+def known_quality(labels: DataFrame) -> DataFrame:
+    """(doc_id, good) of the labelled documents; one labelled both ways counts as bad, and labels with a null are ignored."""
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("good"))
 
-    The sample, of which the weights are learned, is the documents with the smallest hashes of doc_id. Then all documents are
-    scored. Of all labelled ones' scores the level is taken that separates good from bad with the least error, and the cut
-    is the quantile of all documents' scores at that level. Labels with a null are ignored; a document labelled both ways
-    counts as bad. None where either quality has no document, as nothing can then be learned.
+
+def weigh(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", per_class: int = 8000, pairs: int = 200_000, seed: int = 7) -> Ranker | None:
+    """A ranker without a cut, from at most ``per_class`` labelled documents of each quality, those with the smallest hashes of doc_id.
+
+    ``pairs`` preference pairs are drawn among them, as their product may be 64 million. None where either quality has no
+    document, as nothing can then be learned.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("good"))
+    known = known_quality(labels)
     parts = [known.where(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for g in (0, 1)]
     picked = parts[0].unionByName(parts[1])
     found = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "doc_id")
@@ -173,17 +175,33 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     scale[scale < 1e-9] = 1
     z = (x - centre) / scale
     w = bradley_terry(z[i], z[j])
-    ranker = Ranker(tuple(map(float, w)), tuple(map(float, centre)), tuple(map(float, scale)), -np.inf, 0.0)
-    work = Workspace(docs.sparkSession, "quality")
-    scored = work.write(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), ranker.score(features(text)).alias("score")), "scores")
-    rejected, labelled = labelled_level(scored.join(known, "doc_id").select("score", "good"))
+    return Ranker(tuple(map(float, w)), tuple(map(float, centre)), tuple(map(float, scale)), -np.inf, 0.0)
+
+
+def with_cut(ranker: Ranker, scored: DataFrame, labels: DataFrame) -> Ranker:
+    """The ranker with its cut, for a written table (doc_id, score) of all documents.
+
+    Of all labelled documents' scores the level is taken that separates good from bad with the least error, and the cut is the
+    quantile of all documents' scores at that level.
+    """
+    rejected, labelled = labelled_level(scored.join(known_quality(labels), "doc_id").select("score", "good"))
     n = scored.count()
     rank = rejected * n // labelled
     cut = -np.inf if rank == 0 else np.inf if rank == n else score_at(scored, rank)
-    work.drop()
     return replace(ranker, cut=cut, level=rejected / labelled)
 
 
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **fitting) -> Ranker | None:
+    """A ranker of which the weights are learned from a sample of labelled documents and the cut from all documents."""
+    ranker = weigh(docs, labels, text, doc_id, **fitting)
+    if ranker is None:
+        return None
+    work = Workspace(docs.sparkSession, "quality")
+    ranker = with_cut(ranker, work.write(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), ranker.score(features(text)).alias("score")), "scores"), labels)
+    work.drop()
+    return ranker
+
+
 def quality_scores(docs: DataFrame, ranker: Ranker | None, text: str, score: str, keep: str) -> DataFrame:
     """docs with a score and whether it reaches the cut; without a ranker all are kept with a null score."""
     if ranker is None:
@@ -192,21 +210,25 @@ def quality_scores(docs: DataFrame, ranker: Ranker | None, text: str, score: str
     return scored.withColumn(keep, F.col(score) >= F.lit(ranker.cut))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", score: str | None = None, **fitting) -> DataFrame:
-    """The documents whose score reaches the cut, with all their columns; ``score`` names a column to add.
+def quality_filter(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", score: str | None = None, only: list[str] | None = None, **fitting) -> DataFrame:
+    """The documents whose score reaches the cut, with all their columns or those named in ``only``; ``score`` names a column to add.
 
     Each row is scored from its own whole text, so equal rows fare alike and a null doc_id is nothing special. A null or
     empty text is scored as a text without words. Equal scores are on the same side of the cut. Without labels of both
-    qualities every row stays. No row, no result.
+    qualities every row stays, with a null score. No row, no result. Scores are computed once: the rows are written with them, and what
+    finds the cut and what applies it read that table.
     """
-    from .common import fresh
-
-    ranker = fit(docs, labels, text, doc_id, **fitting)
-    keep, value = fresh(docs.columns, "rf_keep", score or "rf_score")
-    out = quality_scores(docs, ranker, text, value, keep).where(F.col(keep)).drop(keep)
-    return out if score else out.drop(value)
+    kept = [F.col(f"`{c}`") for c in (docs.columns if only is None else only)]
+    ranker = weigh(docs, labels, text, doc_id, **fitting)
+    if ranker is None:
+        return docs.select(*kept, *([F.lit(None).cast("double").alias(score)] if score else []))
+    value, name = fresh(docs.columns, score or "rf_score", "rf_doc")
+    work = Workspace(docs.sparkSession, "quality")
+    scored = work.write(docs.select(*kept, F.col(f"`{doc_id}`").alias(name), ranker.score(features(text)).alias(value)), "scored")
+    ranker = with_cut(ranker, scored.select(F.col(name).alias("doc_id"), F.col(value).alias("score")), labels)
+    return scored.where(F.col(value) >= F.lit(ranker.cut)).select(*kept, *([F.col(value).alias(score)] if score else []))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_filter(docs, labels, score="score").select("doc_id", "score")
+    return quality_filter(docs, labels, score="score", only=["doc_id"])
