@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass, field
-from pathlib import Path
+from dataclasses import dataclass
 
 _LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 
 
-def _home(variable: str, fallback: str) -> str:
-    return str(Path(os.environ.get(variable) or Path.home() / fallback) / "rowforge")
-
-
 @dataclass
 class EnrichmentConfig:
-    """``max_workers`` bounds the rows in flight of a run over all its tasks; caching and checkpoints need folders that all executors share."""
+    """Settings of a run.
+
+    ``max_workers`` bounds the rows in flight of model steps and async functions over all tasks of a run, whose tasks are no more than it
+    either; a plain function has a row in flight in each task, and more only as far as max_workers goes round. ``cache_dir`` and
+    ``checkpoint_dir`` are folders that all executors share; where they aren't given, they are in spark.checkpoint.dir if
+    that is set, else under the user's home. With ``checkpoint_interval`` and checkpointing on, a task stores its model calls' results after so many rows, and
+    doesn't repeat those calls if it runs again.
+    """
 
     max_tokens: int = 4000
     temperature: float = 0.2
@@ -27,11 +28,11 @@ class EnrichmentConfig:
     log_level: str = "INFO"
     enable_progress_bar: bool = True
     enable_checkpointing: bool = False
-    checkpoint_dir: str = field(default_factory=lambda: _home("XDG_STATE_HOME", ".local/state"))
+    checkpoint_dir: str = ""
     auto_resume: bool = True
     enable_caching: bool = True
     cache_ttl: int = 3600
-    cache_dir: str = field(default_factory=lambda: _home("XDG_CACHE_HOME", ".cache"))
+    cache_dir: str = ""
     checkpoint_interval: int = 0
     batch_poll_interval: float = 60.0
     batch_timeout: float = 86400.0

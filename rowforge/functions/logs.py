@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import logging
 import sys
+import threading
+from typing import Any
 
 from ..errors import redact
 
@@ -30,3 +32,39 @@ def setup_logging(level: str = "INFO", json_format: bool = False) -> logging.Log
     log.setLevel(level.upper())
     log.propagate = False
     return log
+
+
+class Progress:
+    """A line on a terminal about a run: steps done, and tasks done of those that Spark runs now. Silent where stderr is no terminal."""
+
+    def __init__(self, spark: Any, wanted: bool, steps: int, out: Any = None, every: float = 0.5):
+        self.spark, self.steps, self.out, self.every = spark, steps, out or sys.stderr, every
+        self.on = wanted and bool(getattr(self.out, "isatty", bool)())
+        self.done, self.names, self.over = 0, "", threading.Event()
+
+    def line(self) -> str:
+        status = self.spark.sparkContext.statusTracker()
+        stages = [i for i in map(status.getStageInfo, status.getActiveStageIds()) if i]
+        tasks = f", tasks {sum(i.numCompletedTasks for i in stages)} of {sum(i.numTasks for i in stages)}" if stages else ""
+        return f"steps {self.done} of {self.steps}{self.names}{tasks}"
+
+    def step(self, names: list[str], rows: int) -> None:
+        self.done, self.names = self.done + len(names), f", last {names[-1]}: {rows:,} rows"
+        if self.on:
+            self.out.write(f"\r\x1b[K{self.line()}")
+            self.out.flush()
+
+    def __enter__(self) -> Progress:
+        def tell() -> None:
+            while not self.over.wait(self.every):
+                self.out.write(f"\r\x1b[K{self.line()}")
+                self.out.flush()
+
+        if self.on:
+            threading.Thread(target=tell, daemon=True).start()
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        self.over.set()
+        if self.on:
+            self.out.write("\n")

@@ -30,6 +30,13 @@ def redact(c: Column) -> Column:
     return c
 
 
+def redact_sql(name: str) -> str:
+    """The same as an expression of SQL dialects with RE2's regexp_replace."""
+    for p in SECRETS:
+        name = f"regexp_replace({name}, '{p.replace(chr(39), chr(39) * 2)}', '{REDACTED}', 'g')"
+    return name
+
+
 def is_refusal(c: Column) -> Column:
     """True of null, blank, and the listed phrases, whatever their case and the white space around them."""
     return F.coalesce(F.lower(F.btrim(c, F.lit(" \t\n\r\f\x0b"))).isin("", *REFUSALS), F.lit(True))

@@ -91,7 +91,14 @@ def differs(a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
     if ta != tb:
         numeric = (T.NumericType, T.BooleanType)
         if isinstance(ta, numeric) and isinstance(tb, numeric):
-            a, b = a.cast("double"), b.cast("double")
+            exact = (T.IntegralType, T.BooleanType)
+            kind = "decimal(20,0)" if isinstance(ta, exact) and isinstance(tb, exact) else "double"
+            if isinstance(ta, T.DecimalType) and isinstance(tb, (*exact, T.DecimalType)) or isinstance(tb, T.DecimalType) and isinstance(ta, exact):
+                whole = max(19, *(t.precision - t.scale for t in (ta, tb) if isinstance(t, T.DecimalType)))
+                scale = max(t.scale for t in (ta, tb) if isinstance(t, T.DecimalType))
+                kind = f"decimal({whole + scale},{scale})" if whole + scale <= 38 else "double"
+            through = "int" if "decimal" in kind else kind  # a boolean has no cast to decimal of its own
+            a, b = (x.cast(through).cast(kind) if isinstance(t, T.BooleanType) else x.cast(kind) for x, t in ((a, ta), (b, tb)))
         else:
             a, b = as_text(a, ta), as_text(b, tb)
     elif isinstance(ta, (T.MapType, T.VariantType)):

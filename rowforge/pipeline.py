@@ -9,23 +9,26 @@ comparisons are then queries over the frame.
 from __future__ import annotations
 
 import asyncio
+import copy
 import hashlib
 import logging
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .config import EnrichmentConfig
 from .errors import PipelineError, StepError
+from .functions.logs import Progress
 from .functions.text import cache_key, row_json
 from .functions.validate import canonical
 from .hooks import EnrichmentHooks, PipelineEndEvent, PipelineStartEvent, RowAttemptEvent, RowCompleteEvent, StepEndEvent, StepStartEvent
@@ -36,7 +39,7 @@ from .plans import dag
 from .sources.cache import CacheTable
 from .sources.checkpoint import Checkpoints, content_digest
 from .sources.rows import ROW, numbered, to_frame
-from .sources.workspace import Workspace
+from .sources.workspace import Workspace, delete, hadoop_path, stored
 from .types import BatchRequest, CostSummary, StepUsage
 
 log = logging.getLogger("rowforge")
@@ -89,7 +92,7 @@ class PipelineResult:
     def save(self, path: str | Path) -> Path:
         from .sources.sinks import save
 
-        return save(self.data, path)
+        return save(self.frame.select(*self.columns, F.col(ROW).alias("__rf_order")), path, order="__rf_order")
 
     def report(self, output_format: str = "text", path: str | Path | None = None, disable: list[str] | None = None) -> Any:
         from .operators.report import report
@@ -112,6 +115,14 @@ class PipelineResult:
             self.work.drop()
 
 
+def refuse_loop() -> None:
+    try:
+        asyncio.get_running_loop()
+    except RuntimeError:
+        return
+    raise PipelineError("an event loop is running here: await run_async() instead")
+
+
 class _Names:
     """Columns by name, for a column step."""
 
@@ -153,7 +164,11 @@ class Pipeline:
         self, data: Any, config: EnrichmentConfig | None = None, hooks: EnrichmentHooks | None = None, output_file: str | None = None, confirm: bool = False, *, run_log: Any = None, display_key: str | None = None,
         capture: str = "metadata", row_key: str | None = None, order_by: list[str] | None = None, data_identifier: str | None = None, spark: SparkSession | None = None,
     ) -> PipelineResult:
-        """Run all steps over all rows. ``row_key`` names a unique integer column to number rows by; see sources.rows.numbered."""
+        """Run all steps over all rows. ``row_key`` names a unique integer column to number rows by; see sources.rows.numbered.
+
+        Not from within an event loop, which it would block: there, await ``run_async``.
+        """
+        refuse_loop()
         if capture not in ("metadata", "prompts", "full"):
             raise ValueError("capture is 'metadata', 'prompts' or 'full'")
         spark = spark or (data.sparkSession if isinstance(data, DataFrame) else SparkSession.builder.getOrCreate())
@@ -175,6 +190,7 @@ class Pipeline:
         data_identifier: str | None = None, row_key: str | None = None, order_by: list[str] | None = None, spark: SparkSession | None = None,
     ) -> PipelineResult:
         """Run the failed cells of a checkpointed run again, and what depends on them; all else is read from the checkpoint."""
+        refuse_loop()
         config = config or EnrichmentConfig()
         if not config.enable_checkpointing:
             raise PipelineError("a retry needs a checkpoint: set enable_checkpointing")
@@ -196,7 +212,11 @@ class Pipeline:
         return Enricher(self, config)
 
     def clear_cache(self, step: str | None = None, cache_dir: str | None = None, spark: SparkSession | None = None) -> int:
-        return CacheTable(spark or SparkSession.builder.getOrCreate(), cache_dir or EnrichmentConfig().cache_dir, 0).clear(step)
+        return CacheTable(spark or SparkSession.builder.getOrCreate(), cache_folder(spark or SparkSession.builder.getOrCreate(), cache_dir or ""), 0).clear(step)
+
+
+def cache_folder(spark: SparkSession, given: str) -> str:
+    return stored(spark, given, "XDG_CACHE_HOME", ".cache")
 
 
 class Enricher:
@@ -223,6 +243,9 @@ class _Run:
         self.work = Workspace(spark)
         self.elapsed: dict[str, float] = {}
         self.batches: dict[str, str] = {}
+        self.stored: str | None = None  # the folder of results that tasks store as they go
+        self.progress = Progress(spark, config.enable_progress_bar, len(pipeline.step_names))
+        self.holding = False
         self.partial: set[str] = set()  # steps of which only some cells run
         self.done: list[str] = []
         self.cached: set[str] = set()
@@ -245,8 +268,11 @@ class _Run:
             logger = run_log if isinstance(run_log, JsonlRunLogger) else JsonlRunLogger(run_log)
         store = None
         if self.config.enable_checkpointing:
-            store = Checkpoints(self.spark, self.config.checkpoint_dir, identifier or f"df_{content_digest(frame, total)}")
+            store = Checkpoints(self.spark, stored(self.spark, self.config.checkpoint_dir, "XDG_STATE_HOME", ".local/state"), identifier or f"df_{content_digest(frame, total)}")
         fields = {n: list(self.by[n].fields) for n in names}
+        if store and self.config.checkpoint_interval:
+            fs, at = hadoop_path(self.spark, f"{store.at}/partial")
+            self.stored = re.sub("^file:/+", "file:///", fs.makeQualified(at).toString())
         prior = store.load(self.input, total, fields) if store and (retry or self.config.auto_resume) else None
         if retry and not prior:
             raise PipelineError("there is no checkpoint of these rows to retry")
@@ -257,7 +283,8 @@ class _Run:
             logger.start(self, total, display_key, retry is not None, frame)
         result = None
         try:
-            frame = self.execute(frame, total, store, fields, logger, display_key)
+            with self.progress:
+                frame = self.execute(frame, total, store, fields, logger, display_key)
             cost = self.usage(frame)
             columns = final_columns(frame, self.input, self.p._steps, names, self.col, self.config.overwrite_fields or listed)
             result = PipelineResult(frame.select(*columns), frame, columns, dict(self.col), cost, total, time.monotonic() - began, dict(self.elapsed), specs, logger.run_id if logger else "", row_key, self.work)
@@ -310,12 +337,17 @@ class _Run:
 
         def finished(names: list[str]) -> None:
             self.done += [n for n in names if n not in self.done]
+            self.progress.step(names, total)
             kernel = [n for n in names if not isinstance(self.by[n], ExprStep)]
             if store and kernel:
                 try:
                     store.save(self.input, total, fields, {n: frame.select(ROW, F.col(self.col[n]).alias("step")) for n in kernel})
                 except Exception as e:  # a run is worth more than its checkpoint
                     log.warning("the checkpoint was not saved: %s", e)
+                else:
+                    for n in kernel:  # the whole step's table is stored now
+                        if self.stored:
+                            delete(self.spark, f"{self.stored}/{quote(n, safe='')}")
             for n in names:
                 self.after(frame, n, total, logger, display_key)
             if self.config.on_error == "raise":
@@ -339,7 +371,14 @@ class _Run:
                     continue
                 batch = isinstance(step, LLMStep) and step.is_batch_eligible
                 use_cache = self.config.enable_caching and getattr(step, "cache", False)
-                if n in self.partial:
+                if n not in self.partial and isinstance(step.run_if if step.run_if is not None else step.skip_if, Column):
+                    flush()
+                    began = time.monotonic()
+                    through = lambda f, s: self.through_cache(f, s, batch, use_cache) if batch or use_cache else self.settle(self.kernel(f, [s]), [s.name])  # noqa: B023, E731
+                    frame = self.columnwise(frame, step, through)
+                    self.elapsed[n] = time.monotonic() - began
+                    finished([n])
+                elif n in self.partial:
                     flush()
                     began = time.monotonic()
                     frame = self.again(frame, step)
@@ -396,28 +435,55 @@ class _Run:
         s = self.by[name]
         return [*s.fields, *([s.sources_field] if getattr(s, "cited", False) else [])]
 
-    def _make(self, frame: DataFrame, steps: list[Any]) -> tuple[Kernel, T.StructType]:
-        schema = T.StructType(list(frame.schema.fields))
+    def _tasks(self, steps: list[Any]) -> int | None:
+        """How many tasks may run the steps: for those that wait for others, no more than there may be rows in flight."""
+        waits = any(isinstance(s, LLMStep) or asyncio.iscoroutinefunction(getattr(s, "fn", None)) for s in steps)
+        return max(1, min(self.spark.sparkContext.defaultParallelism, self.config.max_workers)) if waits else None
+
+    def _make(self, frame: DataFrame, steps: list[Any], carry: list[str] | None = None) -> tuple[Kernel, T.StructType]:
+        schema = T.StructType([f for f in frame.schema.fields if carry is None or f.name in carry])
         for s in steps:
             kinds = s.spark_types() if hasattr(s, "spark_types") else dict.fromkeys(s.fields)
             self.types[s.name] = kinds
             self.parsed[s.name] = self.json_fields(s.name)
             schema = schema.add(self.col[s.name], step_type({f: t or T.StringType() for f, t in kinds.items()}))
-        tasks = max(1, self.spark.sparkContext.defaultParallelism)
+        tasks = self._tasks(steps) or max(1, self.spark.sparkContext.defaultParallelism)
         workers = max(1, self.config.max_workers // tasks)
         specs = {s.name: {f: spec.as_dict() for f, spec in getattr(s, "field_specs", {}).items()} or {f: {} for f in s.fields} for s in steps}
         read = {d: self.col[d] for s in steps for d in s.depends_on}
         arrow = to_arrow_schema(schema)
-        return Kernel(steps, {s.name: self.types[s.name] for s in steps}, read, self.input, ROW, self.config, specs, workers, self.capture, arrow, self.parsed), schema
-
-    def kernel(self, frame: DataFrame, steps: list[Any]) -> DataFrame:
-        run, schema = self._make(frame, steps)
-        return frame.mapInArrow(run, schema)
+        return Kernel(steps, {s.name: self.types[s.name] for s in steps}, read, self.input, ROW, self.config, specs, workers, self.capture, arrow, self.parsed, schema.names[: -len(steps)], self.stored), schema
+
+    def kernel(self, frame: DataFrame, steps: list[Any], carry: list[str] | None = None) -> DataFrame:
+        run, schema = self._make(frame, steps, carry)
+        tasks = self._tasks(steps)
+        return (frame.coalesce(tasks) if tasks else frame).mapInArrow(run, schema)
+
+    def columnwise(self, frame: DataFrame, step: Any, run: Callable[[DataFrame, Any], DataFrame]) -> DataFrame:
+        """A step whose predicate is a Column: rows that it skips are told apart by Spark and never reach Python."""
+        said = F.coalesce((step.run_if if step.run_if is not None else step.skip_if).cast("boolean"), F.lit(False))
+        skip = ~said if step.run_if is not None else said
+        bare, c = copy.copy(step), self.col[step.name]
+        bare.run_if = bare.skip_if = None
+        self.holding = True  # the frame is read again below
+        done = run(frame.where(~skip), bare)
+        self.holding = False
+        kind = done.schema[c].dataType
+        defaults = step.skip_defaults()
+        as_kind = lambda f, t: F.from_json(F.lit(canonical({"v": defaults.get(f)})), T.StructType([T.StructField("v", t)]))["v"].alias(f)
+        given = {
+            "values": F.struct(*[as_kind(f.name, f.dataType) for f in kind["values"].dataType]), "present": F.array(*[F.lit(f) for f in step.fields]), "status": F.lit("skipped"), "from_cache": F.lit(False),
+        }
+        cell = F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+        written = self.work.write(done.unionByName(frame.where(skip).withColumn(c, cell)), "frame")
+        self.work.keep_last()
+        return written
 
     def settle(self, frame: DataFrame, names: list[str]) -> DataFrame:
         """Write the frame, then give fields whose type wasn't declared the type that all their values have."""
         written = self.work.write(frame, "frame")
-        self.work.keep_last()
+        if not self.holding:
+            self.work.keep_last()
         return self.typed(written, names)
 
     def typed(self, frame: DataFrame, names: list[str]) -> DataFrame:
@@ -440,8 +506,14 @@ class _Run:
 
     def again(self, frame: DataFrame, step: Any) -> DataFrame:
         """Only the cells that are to run again pass through Python; the others keep what they have."""
-        c, flag = self.col[step.name], self.redo[step.name]
-        todo, rest = frame.where(F.col(flag)).drop(c), frame.where(~F.col(flag))
+        c, flag = self.col[step.name], F.col(self.redo[step.name])
+        test = step.run_if if step.run_if is not None else step.skip_if
+        if isinstance(test, Column):  # rows that it skips keep what they have
+            said = F.coalesce(test.cast("boolean"), F.lit(False))
+            flag = flag & (said if step.run_if is not None else ~said)
+            step = copy.copy(step)
+            step.run_if = step.skip_if = None
+        todo, rest = frame.where(flag).drop(c), frame.where(~flag)
         before = self.types[step.name]
         run, schema = self._make(todo, [step])
         done = todo.mapInArrow(run, schema)
@@ -463,50 +535,71 @@ class _Run:
         share a failure; failures are never stored.
         """
         c = self.col[step.name]
-        key, gate, hit = "__rf_key", "__rf_gate", "__rf_hit"
-        gated = frame.withColumn(gate, F.lit(None).cast(step_type({f: T.StringType() for f in step.fields})))
-        if step.run_if is not None or step.skip_if is not None:
-            gated = frame.mapInArrow(*self._gate(frame, step, gate))
+        key, gate, hit, first = "__rf_key", "__rf_gate", "__rf_hit", "__rf_first"
+        given = list(step.inputs) if getattr(step, "inputs", None) is not None else self.input
+        reads = [*(f"`{x}`" for x in given), *(self.col[d] for d in step.depends_on)]
         row = row_json((x, F.col(f"`{x}`")) for x in (getattr(step, "inputs", None) or self.input))
         prior = row_json((f"{i}.{d}", F.struct(F.col(f"{self.col[d]}.values"), F.col(f"{self.col[d]}.present"))) for i, d in enumerate(step.depends_on))
-        static = hashlib.sha256((step.static_key() if hasattr(step, "static_key") else canonical({"step": step.name})).encode()).hexdigest()
-        keyed = gated.withColumn(key, F.when(F.col(gate).isNull(), cache_key(static, row, prior) if use_cache else F.concat(F.lit("row "), F.col(ROW).cast("string"))))
-        keyed = self.work.write(keyed, "keyed")
-        store = CacheTable(self.spark, self.config.cache_dir, self.config.cache_ttl) if use_cache else None
-        known = store.live(step.name) if store else self.spark.createDataFrame([], "key string, value string, present array<string>")
-        known = known.select(F.col("key").alias(key), F.struct("value", "present").alias(hit))
-        looked = self.work.write(keyed.join(known, key, "left"), "looked") if store else keyed.withColumn(hit, F.lit(None).cast("struct<value:string,present:array<string>>"))
-        missing = looked.where(F.col(hit).isNull() & F.col(key).isNotNull())
-        first = missing.withColumn("__rf_nth", F.row_number().over(W.partitionBy(key).orderBy(ROW))).where("__rf_nth = 1").drop("__rf_nth") if use_cache else missing
-        kept = [x for x in first.columns if x not in (gate, hit)]
-        made = self.batched(first.select(*kept), step) if batch else self.kernel(first.select(*kept), [step])
-        made = self.work.write(made.select(key, F.col(ROW).alias("__rf_first"), c), "made")
+        static = step.static_key() if hasattr(step, "static_key") else canonical({"step": step.name})
+        static = hashlib.sha256(static.encode()).hexdigest()
+        named = frame.withColumn(key, cache_key(static, row, prior) if use_cache else F.concat(F.lit("row "), F.col(ROW).cast("string")))
+        empty = step_type({f: T.StringType() for f in step.fields})
+        if step.run_if is not None or step.skip_if is not None:
+            told = named.mapInArrow(*self._gate(named, step, gate, [ROW, key]))
+        else:
+            told = named.select(ROW, key, F.lit(None).cast(empty).alias(gate))
+        told = self.work.write(told.select(ROW, key, gate), "keys")  # from here on keys and row numbers alone are moved
+        asked = told.where(F.col(gate).isNull()).select(ROW, key)
+
+        store = CacheTable(self.spark, cache_folder(self.spark, self.config.cache_dir), self.config.cache_ttl) if use_cache else None
+        none = F.lit(None).cast("struct<value:string,present:array<string>>").alias(hit)
+        if store:
+            known = store.live(step.name).select(F.col("key").alias(key), F.struct("value", "present").alias(hit))
+            once = asked.groupBy(key).agg(F.min(ROW).alias(first))  # combined before the shuffle, so a hot key is no burden
+            once = self.work.write(once.join(known, key, "left"), "looked")
+        else:
+            once = asked.select(key, F.col(ROW).alias(first), none)
+        bare = copy.copy(step)
+        bare.run_if = bare.skip_if = None  # told already
+        missing = once.where(F.col(hit).isNull()).select(F.col(first).alias(ROW), key)
+        todo = frame.select(ROW, *reads).join(missing, ROW)
+        made = self.batched(todo, bare, [ROW, key]) if batch else self.kernel(todo, [bare], [ROW, key])
+        made = self.work.write(made.select(key, F.col(ROW).alias(first), c), "made")
         target = made.schema[c].dataType
-        values = target["values"].dataType
         if store:
-            good = made.where(F.col(f"{c}.status") == "ok").select(F.col(key).alias("key"), F.to_json(F.col(f"{c}.values"), {"ignoreNullFields": "false"}).alias("value"), F.col(f"{c}.present").alias("present"))
-            store.add(step.name, good)
+            good = made.where(F.col(f"{c}.status") == "ok")
+            value = F.to_json(F.col(f"{c}.values"), {"ignoreNullFields": "false"})
+            store.add(step.name, good.select(F.col(key).alias("key"), value.alias("value"), F.col(f"{c}.present").alias("present")))
             self.cached.add(step.name)
-        null = lambda x: F.lit(None).cast(target[x].dataType).alias(x)
-        from_hit = F.struct(F.from_json(F.col(hit)["value"], values).alias("values"), F.col(hit)["present"].alias("present"), F.lit("ok").alias("status"), F.lit(True).alias("from_cache"), *[null(x) for x in ("error", "usage", "attempts", "elapsed_ms")])
-        res = F.col(c)
-        shared = F.struct(res["values"].alias("values"), res["present"].alias("present"), res["status"].alias("status"), (res["status"] == "ok").alias("from_cache"), res["error"].alias("error"), *[null(x) for x in ("usage", "attempts", "elapsed_ms")])
-        gated_as = F.col(gate)
-        own_gate = F.struct(F.struct(*[F.variant_get(F.try_parse_json(gated_as["values"][f]), "$", t.simpleString()).alias(f) if not isinstance(t, T.StringType) else gated_as["values"][f].alias(f) for f, t in zip(values.names, [x.dataType for x in values]) if f in step.fields], *[F.lit(None).cast(values[f].dataType).alias(f) for f in values.names if f not in step.fields]).alias("values"), gated_as["present"].alias("present"), gated_as["status"].alias("status"), F.lit(False).alias("from_cache"), gated_as["error"].alias("error"), *[null(x) for x in ("usage", "attempts", "elapsed_ms")])
-        joined = looked.join(made, key, "left")
-        cell = F.when(gated_as.isNotNull(), own_gate).when(F.col(hit).isNotNull(), from_hit).when(F.col(ROW) == F.col("__rf_first"), res).otherwise(shared)
-        return self.settle(joined.select(*[F.col(f"`{x}`") for x in frame.columns], cell.alias(c)), [step.name])
-
-    def _gate(self, frame: DataFrame, step: Any, name: str) -> tuple[Any, T.StructType]:
-        """A job that tests the predicate alone: null for rows that are to run, else what they get."""
-        schema = T.StructType(list(frame.schema.fields)).add(name, step_type({f: T.StringType() for f in step.fields}))
+
+        values = target["values"].dataType
+
+        def cell(**parts: Column) -> Column:
+            return F.struct(*[parts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in target])
+
+        res, stopped = F.col(c), F.col(gate)
+        from_hit = cell(values=F.from_json(F.col(hit)["value"], values), present=F.col(hit)["present"], status=F.lit("ok"), from_cache=F.lit(True))
+        shared = cell(values=res["values"], present=res["present"], status=res["status"], from_cache=res["status"] == "ok", error=res["error"])
+        own = lambda f, t: stopped["values"][f] if isinstance(t, T.StringType) else F.variant_get(F.try_parse_json(stopped["values"][f]), "$", t.simpleString())
+        skipped = F.struct(*[(own(f.name, f.dataType) if f.name in step.fields else F.lit(None)).cast(f.dataType).alias(f.name) for f in values])
+        skipped = cell(values=skipped, present=stopped["present"], status=stopped["status"], from_cache=F.lit(False), error=stopped["error"])
+        found = made.select(key, first, c)
+        if store:
+            found = found.unionByName(once.where(F.col(hit).isNotNull()).select(key, F.lit(None).cast("long").alias(first), from_hit.alias(c)))
+        cells = asked.join(found, key).select(ROW, F.when(F.col(first).isNull() | (F.col(ROW) == F.col(first)), res).otherwise(shared).alias(c))
+        cells = cells.unionByName(told.where(stopped.isNotNull()).select(ROW, skipped.alias(c)))
+        return self.settle(frame.join(cells, ROW, "left").select(*[F.col(f"`{x}`") for x in frame.columns], c), [step.name])
+
+    def _gate(self, frame: DataFrame, step: Any, name: str, carry: list[str]) -> tuple[Any, T.StructType]:
+        """A job that tests the predicate alone: beside ``carry``, null for rows that are to run, else what they get."""
+        schema = T.StructType([frame.schema[x] for x in carry]).add(name, step_type({f: T.StringType() for f in step.fields}))
         read = {d: self.col[d] for d in step.depends_on}
         declared = step.spark_types() if hasattr(step, "spark_types") else {}
         plain = {f: T.StringType() if isinstance(declared.get(f), T.StringType) else None for f in step.fields}
-        kernel = Kernel([_Gate(step)], {step.name: plain}, read, self.input, ROW, self.config, {step.name: {}}, 1, "metadata", to_arrow_schema(schema), self.parsed)
+        kernel = Kernel([_Gate(step)], {step.name: plain}, read, self.input, ROW, self.config, {step.name: {}}, 1, "metadata", to_arrow_schema(schema), self.parsed, carry)
         return kernel, schema
 
-    def batched(self, frame: DataFrame, step: LLMStep) -> DataFrame:
+    def batched(self, frame: DataFrame, step: LLMStep, carry: list[str]) -> DataFrame:
         """Requests to the provider's batch jobs, chunk by chunk, and replies back by row; rows without a usable reply are called one by one."""
         run, schema = self._make(frame, [step])
         config = self.config
@@ -534,8 +627,11 @@ class _Run:
                 if len(chunk) >= config.batch_max_requests:
                     submit()
             submit()
-            for b in sent:
-                got = loop.run_until_complete(client.poll_batch(b, config.batch_poll_interval, config.batch_timeout))
+
+            async def all_polled() -> list[Any]:
+                return await asyncio.gather(*[client.poll_batch(b, config.batch_poll_interval, config.batch_timeout) for b in sent])
+
+            for got in loop.run_until_complete(all_polled()):  # chunks are waited for together
                 rows = [(int(k[4:]), v.content, v.usage and tuple(getattr(v.usage, n) for n in ("prompt_tokens", "completion_tokens", "total_tokens", "model", "cache_write_tokens", "cache_read_tokens"))) for k, v in got.responses.items()]
                 part = self.work.write(self.spark.createDataFrame(rows, kind), "replies")
                 replies = part if replies is None else replies.unionByName(part)
@@ -553,9 +649,9 @@ class _Run:
             replies = self.spark.createDataFrame([], kind)
         reply = "__rf_reply"
         with_reply = frame.join(replies.select(ROW, F.struct("content", "usage").alias(reply)), ROW, "left")
-        inner = T.StructType(list(with_reply.schema.fields)).add(self.col[step.name], schema[self.col[step.name]].dataType)
-        finish = Kernel([_Reply(step)], {step.name: self.types[step.name]}, read, [*self.input, reply], ROW, config, {step.name: {}}, run.workers, self.capture, to_arrow_schema(inner), self.parsed)
-        return with_reply.mapInArrow(finish, inner).drop(reply)
+        inner = T.StructType([with_reply.schema[x] for x in carry]).add(self.col[step.name], schema[self.col[step.name]].dataType)
+        finish = Kernel([_Reply(step)], {step.name: self.types[step.name]}, read, [*self.input, reply], ROW, config, {step.name: {}}, run.workers, self.capture, to_arrow_schema(inner), self.parsed, carry)
+        return with_reply.coalesce(self._tasks([step])).mapInArrow(finish, inner)
 
     # -- what is told of a run
 

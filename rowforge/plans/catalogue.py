@@ -156,9 +156,12 @@ def merge_overwrite(spark, sf):
     return _merge(spark, sf, True)
 
 
-@query("SELECT c_custkey, 'new-' || c_custkey AS f FROM customer WHERE c_custkey % 5 = 1")
+@query("SELECT count(*) FILTER (c_custkey % 5 = 1) AS blank, count(*) FILTER (c_custkey % 5 = 0) AS missing, count(*) FILTER (c_custkey % 5 > 1) AS kept, count(*) AS total FROM customer")
 def merge_blank_filled(spark, sf):
-    return _merge(spark, sf, False).where("c_custkey % 5 = 1")
+    """How many fields that were blank, missing or there have the new value or the old one, over all rows."""
+    five, new = F.col("c_custkey") % 5, F.col("f") == F.concat(F.lit("new-"), F.col("c_custkey"))
+    kinds = {"blank": (five == 1) & new, "missing": (five == 0) & new, "kept": (five > 1) & ~new & (F.col("f") != "")}
+    return _merge(spark, sf, False).agg(*[F.count_if(c).alias(k) for k, c in kinds.items()], F.count(F.lit(1)).alias("total"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 2 WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS f FROM orders")
@@ -246,12 +249,16 @@ def prompt_user_half(spark, sf):
 
 
 @query(
-    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'key ***REDACTED*** end' WHEN 1 THEN 'header ***REDACTED*** end' WHEN 2 THEN '***REDACTED*** end' ELSE 'plain ' || source END AS t FROM documents"""
+    r"""WITH t AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' key sk-a1a1a1a1a1a1a1a1a1a1a1a1 end' WHEN 1 THEN ' header Bearer abc.def-123 end' WHEN 2 THEN ' api_key=xyz123 end' ELSE ' plain ' || source END AS t FROM documents)
+    SELECT doc_id, """
+    + X.redact_sql("t")
+    + " AS t FROM t"
 )
 def redact_secrets(spark, sf):
+    """Whole texts, which hold secrets of their own, with one more secret in three of four."""
     d, four = table(spark, sf, "documents"), F.col("doc_id") % 4
-    secret = F.when(four == 0, "key sk-" + "a1" * 12 + " end").when(four == 1, "header Bearer abc.def-123 end").when(four == 2, "api_key=xyz123 end").otherwise(F.concat(F.lit("plain "), F.col("source")))
-    return d.select("doc_id", X.redact(secret).alias("t"))
+    secret = F.when(four == 0, " key sk-" + "a1" * 12 + " end").when(four == 1, " header Bearer abc.def-123 end").when(four == 2, " api_key=xyz123 end").otherwise(F.concat(F.lit(" plain "), F.col("source")))
+    return d.select("doc_id", X.redact(F.concat("text", secret)).alias("t"))
 
 
 @query("""SELECT c_custkey, sha256('step' || '|' || '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}') AS key FROM customer""")
@@ -402,16 +409,17 @@ def refusal_share(spark, sf):
     return c.agg(F.count_if(X.has_refusal_phrase(F.col("v"))).alias("hits"), F.count("v").alias("total")).withColumn("share", F.col("hits") / F.col("total"))
 
 
-def _usage_by(spark, sf, by: str = "event_type") -> tuple[CostSummary, dict[str, int]]:
+def _usage_by(spark, sf, by: str = "event_type", step: Any = None) -> tuple[CostSummary, dict[str, int]]:
     """A run's usage made of events: a step for each type, its rows, failures and tokens counted in one aggregate."""
     e = table(spark, sf, "events")
+    e = e if step is None else e.withColumn(by, step)
     got = e.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_id") % 13 == 0).alias("bad"), F.count_if(F.col("event_id") % 17 == 0).alias("hits"), F.sum(F.floor(F.abs("value"))).cast("long").alias("tokens")).collect()
     steps = {r[by]: StepUsage(total_tokens=r["tokens"], rows_processed=r["n"], cache_hits=r["hits"], cache_misses=r["n"] - r["hits"]) for r in got}
     return CostSummary(steps), {r[by]: r["bad"] for r in got}
 
 
-def _found(spark, sf, fn: Callable) -> DataFrame:
-    cost, errors = _usage_by(spark, sf)
+def _found(spark, sf, fn: Callable, step: Any = None) -> DataFrame:
+    cost, errors = _usage_by(spark, sf, step=step)
     found = fn(R.ReportContext(spark.createDataFrame([], "x int"), {}, cost, errors))
     return spark.createDataFrame([(f.subject, float(f.evidence["ratio"])) for f in found], "step string, ratio double")
 
@@ -426,13 +434,23 @@ def cache_thrash(spark, sf):
     return _found(spark, sf, R.cache_thrash)
 
 
-@query("WITH t AS (SELECT event_type, sum(floor(abs(value)))::BIGINT AS n FROM events GROUP BY 1) SELECT event_type AS step, round(n / (SELECT sum(n) FROM t), 3)::DOUBLE AS ratio FROM t WHERE n >= 0.6 * (SELECT sum(n) FROM t)")
+@query(
+    """WITH t AS (SELECT CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'one' ELSE 'rest' END AS step, sum(floor(abs(value)))::BIGINT AS n FROM events GROUP BY 1)
+    SELECT step, round(n / (SELECT sum(n) FROM t), 3)::DOUBLE AS ratio FROM t WHERE n >= 0.6 * (SELECT sum(n) FROM t)"""
+)
 def cost_outlier(spark, sf):
-    return _found(spark, sf, R.cost_outlier)
+    """All event types but the first are one step, which takes most tokens."""
+    e = table(spark, sf, "events")
+    low = e.agg(F.min("event_type")).first()[0]
+    return _found(spark, sf, R.cost_outlier, F.when(F.col("event_type") == low, "one").otherwise("rest"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('enum_collapse', 'warning', 'kind', 1), ('numeric_clipping', 'warning', 'half', 2), ('refusal_pattern', 'warning', 'note', 3)) t(code, severity, subject, place)"""
+    """WITH c AS (SELECT c_custkey % 3 = 0 AS note, c_custkey % 4 = 0 AS a, least(c_custkey % 10, 5) AS half FROM customer),
+    f AS (SELECT 'enum_collapse' AS code, 'warning' AS severity, 'kind' AS subject FROM c HAVING greatest(avg(a::INT), 1 - avg(a::INT)) >= 0.6
+          UNION ALL SELECT 'numeric_clipping', 'warning', 'half' FROM c HAVING avg((half = (SELECT max(half) FROM c))::INT) >= 0.25
+          UNION ALL SELECT 'refusal_pattern', 'warning', 'note' FROM c HAVING avg(note::INT) >= 0.05)
+    SELECT *, row_number() OVER (ORDER BY severity, code, subject)::INTEGER AS place FROM f"""
 )
 def findings_ordered(spark, sf):
     """Findings of a run over customers in which a field collapses, one clips and one declines."""

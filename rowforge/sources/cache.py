@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 import uuid
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .workspace import delete, hadoop_path
 
+FILES = 32  # stored by runs before a step's entries are rewritten
 SCHEMA = "key string, value string, present array<string>, created_at double, expires_at double"
 
 
@@ -21,7 +22,7 @@ class CacheTable:
         self.spark, self.folder, self.ttl, self.now = spark, folder.rstrip("/"), ttl, time.time() if now is None else now
 
     def _at(self, step: str) -> str:
-        return f"{self.folder}/cache/step_name={step.replace('/', '_')}"
+        return f"{self.folder}/cache/step_name={quote(step, safe='')}"
 
     def _exists(self, path: str) -> bool:
         fs, at = hadoop_path(self.spark, path)
@@ -41,10 +42,16 @@ class CacheTable:
         """Entries are (key, value, present)."""
         expires = F.lit(self.now + self.ttl if self.ttl else None).cast("double")
         entries.select("key", "value", "present", F.lit(self.now).alias("created_at"), expires.alias("expires_at")).write.parquet(f"{self._at(step)}/{uuid.uuid4().hex}")
+        if len(self._parts(step)) > FILES:
+            self.compact(step)
+
+    def _parts(self, step: str) -> list[str]:
+        fs, at = hadoop_path(self.spark, self._at(step))
+        return [s.getPath().toString() for s in fs.listStatus(at)] if fs.exists(at) else []
 
     def steps(self) -> list[str]:
         fs, at = hadoop_path(self.spark, f"{self.folder}/cache")
-        return [s.getPath().getName().split("=", 1)[1] for s in fs.listStatus(at)] if fs.exists(at) else []
+        return [unquote(s.getPath().getName().split("=", 1)[1]) for s in fs.listStatus(at)] if fs.exists(at) else []
 
     def clear(self, step: str | None = None) -> int:
         """Drop a step's entries, or all; how many there were."""
@@ -55,15 +62,22 @@ class CacheTable:
         return n
 
     def compact(self, step: str) -> int:
-        """Rewrite a step's entries without those that have expired or been replaced; how many went."""
-        old = self.raw(step)
+        """Rewrite a step's entries without those that have expired or been replaced; how many went.
+
+        The new entries are moved in before the old ones go. In between, and after a crash there, both are read, which is the same
+        to live(). Runs call this themselves once they have stored often.
+        """
+        parts, old = self._parts(step), self.raw(step)
         before = old.count()
-        ranked = old.where(F.col("expires_at").isNull() | (F.col("expires_at") >= F.lit(self.now))).withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(F.desc("created_at"))))
-        fresh_at = f"{self.folder}/cache-rewrite-{uuid.uuid4().hex}"
-        ranked.where("nth = 1").drop("nth").write.parquet(fresh_at)
-        kept = self.spark.read.parquet(fresh_at).count()
-        delete(self.spark, self._at(step))
-        fs, at = hadoop_path(self.spark, f"{self._at(step)}/{uuid.uuid4().hex}")
-        fs.mkdirs(at.getParent())
-        fs.rename(hadoop_path(self.spark, fresh_at)[1], at)
+        live = old.where(F.col("expires_at").isNull() | (F.col("expires_at") >= F.lit(self.now)))
+        newest = live.groupBy("key").agg(F.max_by(F.struct("value", "present", "created_at", "expires_at"), "created_at").alias("e")).select("key", "e.*")
+        name = uuid.uuid4().hex
+        fs, made = hadoop_path(self.spark, f"{self.folder}/rewrite-{name}")
+        newest.write.parquet(made.toString())
+        kept = self.spark.read.schema(SCHEMA).parquet(made.toString()).count()
+        to = hadoop_path(self.spark, f"{self._at(step)}/{name}")[1]
+        fs.mkdirs(to.getParent())
+        fs.rename(made, to)
+        for path in parts:
+            delete(self.spark, path)
         return before - kept

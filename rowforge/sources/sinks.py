@@ -14,27 +14,30 @@ from pyspark.sql import types as T
 FORMATS = (".csv", ".json", ".parquet")
 
 
-def save(df: DataFrame, path: str | Path) -> Path:
+def save(df: DataFrame, path: str | Path, order: str | None = None) -> Path:
     """One file, .csv, .json (an array of records) or .parquet, in folders that are made where they are missing.
 
-    For a result too large for one file, ``save_parts``.
+    ``order`` names a column to sort by that isn't written. One task writes .csv and .parquet, the driver .json, a record at a
+    time; for a result too large for that, ``save_parts``.
     """
     path = Path(path)
     kind = path.suffix.lower()
     if kind not in FORMATS:
         raise ValueError(f"files are {', '.join(FORMATS)}, not {path.suffix!r}")
     path.parent.mkdir(parents=True, exist_ok=True)
+    ordered = df.orderBy(order).drop(order) if order else df
     if kind == ".json":
         with open(path, "w") as f:
             f.write("[")
-            for i, r in enumerate(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
+            for i, r in enumerate(ordered.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
                 record = json.dumps(json.loads(r["j"]), indent=2, ensure_ascii=False)
                 f.write(("," if i else "") + "\n  " + record.replace("\n", "\n  "))
             f.write("\n]\n")
         return path
     folder = tempfile.mkdtemp(dir=path.parent)
     try:
-        save_parts(df.coalesce(1), folder + "/parts" + kind)
+        one = df.coalesce(1)
+        save_parts(one.sortWithinPartitions(order).drop(order) if order else one, folder + "/parts" + kind)
         part = next(p for p in Path(folder + "/parts" + kind).iterdir() if p.name.startswith("part-"))
         shutil.move(part, path)
     finally:

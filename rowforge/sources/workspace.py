@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(spark: SparkSession, given: str, variable: str, fallback: str) -> str:
+    """Where what outlives a run is kept: as given; else in the shared folder that a cluster names; else, on one machine, under the user's home."""
+    if given:
+        return given
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named.rstrip('/')}/rowforge" if named else str(Path(os.environ.get(variable) or Path.home() / fallback) / "rowforge")
+
+
 def hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
