@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, row_order
+from .common import BROADCAST, Workspace, fits, fresh, row_order
 
 
 def prune(counts: dict, counters: int) -> dict:
@@ -51,28 +51,29 @@ def heavy_digests(digests: DataFrame, column: str, counters: int, least: int) ->
 
 
 def exact_dedup(
-    docs: DataFrame, text: str = "text", order: Iterable[str] = ("doc_id",), counters: int = 1024, least: int = 16, broadcast_rows: int = 4_000_000
+    docs: DataFrame, text: str = "text", order: Iterable[str] = ("doc_id",), counters: int = 1024, least: int = 16, broadcast_bytes: int = BROADCAST
 ) -> DataFrame:
     """One row of each set of rows whose texts have one SHA-256 digest, which stands for equality byte for byte, with all its columns.
 
     The row with the smallest ``order`` columns stays (nulls last), ties going to the smaller hash of the whole row; of
     rows equal in every column one stays. Rows whose text is null have no content to compare, and all stay; empty texts
     are equal. No row, no result. ``counters`` bounds the sketches and the broadcast of heavy digests; the repeated
-    other digests are broadcast while there are at most ``broadcast_rows`` of them and joined by a shuffle beyond that.
+    other digests are broadcast while they take at most ``broadcast_bytes`` and joined by a shuffle beyond that.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "exact")
     dg, od, win = fresh(docs.columns, "rf_digest", "rf_order", "rf_winner")
     keyed = docs.withColumns({dg: F.unhex(F.sha2(F.col(f"`{text}`").cast("binary"), 256)), od: row_order(docs, [c for c in order if c in docs.columns])})
 
-    heavy = F.broadcast(work.write(heavy_digests(keyed, dg, counters, least).withColumnRenamed("digest", dg), "heavy"))
+    keys = work.write(keyed.where(F.col(dg).isNotNull()).select(dg, od), "keys")  # so texts are hashed once here and once where rows are let go
+    heavy = F.broadcast(work.write(heavy_digests(keys, dg, counters, least).withColumnRenamed("digest", dg), "heavy"))
     best = lambda df: df.groupBy(dg).agg(F.count(F.lit(1)).alias("copies"), F.min(od).alias(win)).where("copies > 1").drop("copies")
-    work.write(best(keyed.join(heavy, dg, "left_semi")), "winners/kind=heavy")
-    work.write(best(keyed.where(F.col(dg).isNotNull()).join(heavy, dg, "left_anti")), "winners/kind=other")
+    work.write(best(keys.join(heavy, dg, "left_semi")), "winners/kind=heavy")
+    work.write(best(keys.join(heavy, dg, "left_anti")), "winners/kind=other")
     frequent, other = (spark.read.parquet(f"{work.path}/winners/kind={k}") for k in ("heavy", "other"))
 
     left = keyed.join(F.broadcast(frequent), dg, "left").where(F.col(win).isNull() | (F.col(od) == F.col(win)))
-    if other.count() <= broadcast_rows:
+    if fits(other, 128, broadcast_bytes):
         other = F.broadcast(other)
     frequent_row = F.col(win).isNotNull().alias(win)
     left = left.select(*[F.col(f"`{c}`") for c in docs.columns], dg, od, frequent_row)
