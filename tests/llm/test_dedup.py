@@ -282,6 +282,13 @@ def test_windows_of_many_flushes(monkeypatch):
     assert {k: v for k, v in got.items() if v} == marked
 
 
+def test_largest_doc_id_is_no_null():
+    """2^63 - 1 sorts before null, and both come back as they were."""
+    text = " ".join(f"w{i}" for i in range(8))
+    _, got = ranges_of([text] * 3, 8, 2, ids=[None, 2**63 - 1, 5])
+    assert got == {(5, True): set(range(8)), (2**63 - 1, False): set(range(8)), (None, False): set(range(8))}
+
+
 def test_one_window_in_very_many_documents():
     """100,000 documents share 50 words: no range gets more than its share, as the passage's windows are combined and those at its ends spread."""
     shared = " ".join(f"s{i}" for i in range(50))

@@ -511,6 +511,12 @@ def test_top_k_leaves_blocks_unscored():
     assert rows == sorted((q, -s, d) for q, _, d, s in want)
 
 
+def test_top_k_of_the_largest_doc_id():
+    best = topk.Best(2, 0)
+    best.offer(np.array([7, 7, 7]), np.array([1, 0, 0]), np.array([0, 2**63 - 1, 4]))
+    assert best.doc.tolist() == [4, 2**63 - 1] and best.none.tolist() == [0, 0]
+
+
 def test_top_k_edge_cases(spark):
     df = nasty(spark)
     queries = spark.createDataFrame([(1, "a b zzz", 1), (2, None, 1), (3, "", 1), (1, "a b zzz", 1), (4, "done", 1)], "item_id long, text string, rank int")
