@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Workspace, buckets, slices, text_buffers, trimmed
+from .common import U64, buckets, slices, text_buffers, trimmed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SCHEMA = "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean"
@@ -208,16 +208,15 @@ def decode(ids: np.ndarray, off: np.ndarray, vocabulary: Vocabulary) -> list[byt
     return [body[at[a] : at[b]].tobytes() for a, b in zip(off, off[1:])]
 
 
-_TEXTS = ["block", "docs", "none", "gone", "first", "route", "codes"]
-_WORDS = ["bucket", "block", "words", "sizes"]
-_IDS = ["block", "bucket", "ids", "counts", "sound"]
-STORED = "block long, bucket int, docs binary, none binary, gone binary, first binary, route binary, codes binary, words binary, sizes binary"
+PASSED = "key long, block long, bucket int, docs binary, none binary, gone binary, first binary, route binary, codes binary, words binary, sizes binary, sound binary"
+_NAMES = [f.split()[0] for f in PASSED.split(", ")]
+_KINDS = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 9)
 
 
 def squeeze(x: np.ndarray) -> bytes:
     """Integers below 2^32 by planes of their bytes, compressed."""
     x = np.ascontiguousarray(x, np.uint32)
-    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
 
 
 def unsqueeze(data: pa.Buffer, n: int) -> np.ndarray:
@@ -226,8 +225,11 @@ def unsqueeze(data: pa.Buffer, n: int) -> np.ndarray:
 
 
 def cut(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of texts (doc_id, text): a row with the texts as codes of the block's words, and one for the words of each range."""
-    block = TaskContext.get().partitionId() << 24
+    """Blocks of texts (doc_id, text): a row with the texts as codes of the block's words, and one for the words of each range.
+
+    Words have their range as key, texts one of their own, below 0, with which they pass through merge().
+    """
+    block, codec = TaskContext.get().partitionId() << 24, pa.Codec("zstd", compression_level=3)
     for b in batches:
         for part in slices(b, 1):
             texts, docs = part.column(1), part.column(0)
@@ -243,26 +245,32 @@ def cut(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBat
             route = np.fromiter((xxhash.xxh3_64_intdigest(w) % ranges for w in words.to_pylist()), np.int64, len(words))
             none, gone = (x.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() for x in (docs, texts))
             first = np.searchsorted(starts, off).astype(np.int64).tobytes()
-            rows = [(block, -1, docs.fill_null(0).to_numpy().tobytes(), none, gone, first, squeeze(route), squeeze(rank[codes]), None, None)]
+            rows = [(-1 - block, block, -1, docs.fill_null(0).to_numpy().tobytes(), none, gone, first, squeeze(route), squeeze(rank[codes]), None, None, None)]
             order = np.argsort(route, kind="stable")
             body, at = text_buffers_of_binary(words.take(pa.array(order)))
             size = np.diff(at)
             edge = np.append(np.flatnonzero(np.append(True, np.diff(route[order]) != 0)), len(order)) if len(order) else [0]
             for x, y in zip(edge, edge[1:]):
-                rows.append((block, int(route[order[x]]), *[None] * 6, pa.compress(body[at[x] : at[y]].tobytes(), "zstd", asbytes=True), size[x:y].astype(np.uint32).tobytes()))
+                bucket, said = int(route[order[x]]), codec.compress(body[at[x] : at[y]].tobytes(), asbytes=True)
+                rows.append((bucket, block, bucket, *[None] * 6, said, pa.py_buffer(np.uint32([y - x])).to_pybytes() + squeeze(size[x:y]), None))
             block += 1
-            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 8)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split()[0] for f in STORED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], _NAMES)
 
 
 def merge(batches: list[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """Of a range: the tokens of each block's words there, and whether they decode to the word."""
+    """Of a range: the tokens of each block's words there, and which words they don't decode to, if any. A block's texts come out as they are."""
     blocks, said, sizes = [], [], []
     for b in batches:
+        if b.num_rows and b.column(0)[0].as_py() < 0:
+            yield b
+            continue
         for i in range(b.num_rows):
-            sizes.append(np.frombuffer(b.column(3)[i].as_buffer(), np.uint32).astype(np.int64))
-            said.append(pa.decompress(b.column(2)[i].as_buffer(), int(sizes[-1].sum()), "zstd", asbytes=True))
-            blocks.append((b.column(1)[i].as_py(), b.column(0)[i].as_py()))
+            packed = b.column(10)[i].as_buffer()
+            sizes.append(unsqueeze(packed.slice(4), int(np.frombuffer(packed, np.uint32, 1)[0])))
+            said.append(pa.decompress(b.column(9)[i].as_buffer(), int(sizes[-1].sum()), "zstd", asbytes=True))
+            blocks.append((b.column(1)[i].as_py(), b.column(2)[i].as_py()))
+    if not blocks:
+        return
     size = np.concatenate(sizes)
     coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(b"".join(said))]).dictionary_encode()
     data, off = text_buffers_of_binary(coded.dictionary)
@@ -279,20 +287,23 @@ def merge(batches: list[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.
         done += len(s)
         n = count[own]
         flat = ids[np.repeat(ioff[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        row = (block, bucket, squeeze(flat), n.astype(np.uint32).tobytes(), sound[own].astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), *[pa.binary()] * 3))], _IDS)
+        row = (0, block, bucket, *[None] * 6, squeeze(flat), pa.py_buffer(np.uint32([len(n)])).to_pybytes() + squeeze(n), b"" if sound[own].all() else sound[own].astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _KINDS)], _NAMES)
 
 
-def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """The rows of a block, from its texts' codes and its words' tokens by range."""
+def assemble(rows: pa.Table) -> pa.Table:
+    """The result's rows of a block, from its texts' codes and its words' tokens by range."""
     out = []
-    for i in range(texts.num_rows):
-        said = [texts.column(c)[i].as_buffer() for c in range(1, 7)]
+    rows = rows.combine_chunks()
+    at = dict(zip(rows.column(2).to_pylist(), range(rows.num_rows)))
+    if -1 in at:
+        i = at.pop(-1)
+        said = [rows.column(c)[i].as_buffer() for c in range(3, 9)]
         docs, none, gone, first = (np.frombuffer(x, k) for x, k in zip(said, (np.int64, np.uint8, np.uint8, np.int64)))
-        rows = sorted(zip(words.column(1).to_pylist(), range(words.num_rows)))
-        counts = [np.frombuffer(words.column(3)[j].as_buffer(), np.uint32).astype(np.int64) for _, j in rows]
-        ids = [unsqueeze(words.column(2)[j].as_buffer(), int(n.sum())) for (_, j), n in zip(rows, counts)]
-        sound = [np.frombuffer(words.column(4)[j].as_buffer(), np.uint8) for _, j in rows]
+        parts = [[rows.column(c)[j].as_buffer() for c in (9, 10, 11)] for _, j in sorted(at.items())]
+        counts = [unsqueeze(p[1].slice(4), int(np.frombuffer(p[1], np.uint32, 1)[0])) for p in parts]
+        ids = [unsqueeze(p[0], int(n.sum())) for p, n in zip(parts, counts)]
+        sound = [np.frombuffer(p[2], np.uint8) if len(p[2]) else np.ones(len(n), np.uint8) for p, n in zip(parts, counts)]
         nothing = np.zeros(0, np.int64)
         counts, ids, sound = (np.concatenate([*x, nothing]) for x in (counts, ids, sound))
         order = np.argsort(unsqueeze(said[4], len(counts)), kind="stable")
@@ -317,18 +328,13 @@ def bpe_encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", doc_
     count. Null doc_ids are reported as null and equal rows each; a doc_id is an integer. Other columns, whatever their names, are
     ignored. No row, no result.
     """
-    work = Workspace(docs.sparkSession, "bpe")
     ranges = buckets(docs, text, 32 << 20, 1)
-    stored = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(lambda bs: trimmed(cut(bs, ranges)), STORED)
-    stored = work.write(stored, "blocks")
-    words = stored.where("bucket >= 0").select(*_WORDS)
+    blocks = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(lambda bs: trimmed(cut(bs, ranges)), PASSED)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from trimmed(merge(list(batches), Vocabulary.load(path)))
 
-    ids = words.groupBy("bucket").applyInArrow(merged, "block long, bucket int, ids binary, counts binary, sound binary")
-    texts = stored.where("bucket < 0").select(*_TEXTS)
-    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assemble, SCHEMA)
+    return blocks.groupBy("key").applyInArrow(merged, PASSED).groupBy("block").applyInArrow(assemble, SCHEMA)
 
 
 def bpe_decode(encoded: DataFrame, path: str = VOCABULARY, ids: str = "token_ids", doc_id: str = "doc_id") -> DataFrame:
