@@ -601,8 +601,14 @@ def retry_heals(spark, sf):
     return spark.createDataFrame([(a.errors.count(), b.errors.count())], "before long, after long")
 
 
-@query()
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, '[["o_custkey",' || o_custkey || '],["o_orderdate","' || o_orderdate || '"],["o_orderkey",' || o_orderkey || '],["o_orderpriority","' || o_orderpriority
+                        || '"],["o_orderstatus","' || o_orderstatus || '"],["o_totalprice",' || o_totalprice || ']]' AS j FROM orders),
+    e AS ((SELECT * FROM o ORDER BY k LIMIT 5) UNION (SELECT * FROM o ORDER BY k DESC LIMIT 5))
+    SELECT 'df_' || substr(sha256('[["o_custkey","o_orderdate","o_orderkey","o_orderpriority","o_orderstatus","o_totalprice"],' || (SELECT count(*) FROM orders) || ',[' || string_agg(j, ',' ORDER BY k) || ']]'), 1, 16) AS identifier FROM e"""
+)
 def content_digest_sample(spark, sf):
+    """The digest's head and tail rows as canonical JSON; there are ten rows and more."""
     o = keyed(table(spark, sf, "orders"), "o_orderkey")
     return spark.createDataFrame([(f"df_{content_digest(o, o.count())}",)], "identifier string")
 
