@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices
+from .common import Workspace, slices, trimmed
 
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 BLOCK = 256  # documents
 HELD = 64 << 20  # bytes of term maxima in memory at once
 BATCH = 32 << 20  # bytes of queries that are answered together
-INDEX = "many long, total long, docs binary, none binary, sizes binary, terms array<string>, found binary, most binary, least binary, offsets binary, ids binary, counts binary"
+INDEX = "many long, total long, docs binary, none binary, sizes binary, terms binary, found binary, most binary, least binary, offsets binary, ids binary, counts binary"
 
 
 def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -41,12 +41,26 @@ def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), owner[full.to_numpy(zero_copy_only=False)]
 
 
+def joined(terms: pa.Array) -> bytes:
+    """Terms, which hold no line's end, as lines."""
+    lists = pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms.cast(pa.string()))
+    return pc.binary_join(lists, "\n")[0].as_buffer().to_pybytes()
+
+
+def parted(lines: pa.Scalar) -> pa.Array:
+    body = lines.as_buffer()
+    if not len(body):
+        return pa.array([], pa.large_string())
+    whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(body)], np.int64)), body])
+    return pc.split_pattern(whole, "\n").flatten()
+
+
 def index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The index's rows for (doc_id, text)."""
-    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.string()), *[pa.binary()] * 6)
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 10)
     names = [f.split()[0] for f in INDEX.split(", ")]
     for b in batches:
-        for part in slices(b, 1):
+        for part in slices(b, 1, 4 << 20):
             words, owner = terms(part.column(1))
             n = part.num_rows
             size = np.bincount(owner, minlength=n)
@@ -68,7 +82,7 @@ def index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 most = np.maximum.reduceat(count[lo:hi][order], head) if len(own) else own
                 least = np.minimum.reduceat(np.repeat(size[a:z], np.diff(off[a : z + 1]))[order], head) if len(own) else own
                 arrays = (docs[a:z], none[a:z].astype(np.uint8), size[a:z].astype(np.int64)), (found, most, least, off[a : z + 1] - lo, ids, count[lo:hi])
-                row = (z - a, int(size[a:z].sum()), *(x.tobytes() for x in arrays[0]), coded.dictionary.take(pa.array(own)).to_pylist(), *(x.astype(np.int32).tobytes() for x in arrays[1]))
+                row = (z - a, int(size[a:z].sum()), *(x.tobytes() for x in arrays[0]), joined(coded.dictionary.take(pa.array(own))), *(x.astype(np.int32).tobytes() for x in arrays[1]))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
 
 
@@ -78,7 +92,7 @@ class Queries:
     def __init__(self, texts: list[str | None]):
         words, owner = terms(pa.array(texts, pa.string()))
         coded = words.dictionary_encode()
-        self.vocabulary = coded.dictionary.cast(pa.string())
+        self.vocabulary = coded.dictionary.cast(pa.large_string())
         pair = np.unique(owner.astype(np.int64) * max(len(self.vocabulary), 1) + coded.indices.to_numpy())
         self.flat = pair % max(len(self.vocabulary), 1)
         self.off = np.searchsorted(pair // max(len(self.vocabulary), 1), np.arange(len(texts) + 1))
@@ -88,7 +102,7 @@ class Queries:
 
     def codes(self, terms: pa.Array) -> np.ndarray:
         """The code of each term, or -1."""
-        return pc.fill_null(pc.index_in(terms, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pc.fill_null(pc.index_in(terms.cast(pa.large_string()), value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def bounds(self, peak: np.ndarray) -> np.ndarray:
         """Of each query the sum of its terms' maxima."""
@@ -126,7 +140,7 @@ class Block:
 
     def __init__(self, row: dict, queries: Queries, idf: np.ndarray, mean: float):
         self.row, self.idf, self.mean = row, idf, mean
-        self.known = queries.codes(row["terms"].values)
+        self.known = queries.codes(parted(row["terms"]))
         own = self.known >= 0
         self.peak = np.zeros(max(len(idf), 1), np.int64)
         most, least = (np.frombuffer(row[c].as_buffer(), np.int32)[own] for c in ("most", "least"))
@@ -186,7 +200,7 @@ def frequencies(batches: Iterator[pa.RecordBatch], queries: Queries) -> Iterator
     df = np.zeros(max(len(queries.vocabulary), 1), np.int64)
     for b in batches:
         for i in range(b.num_rows):
-            code = queries.codes(b.column(0)[i].values)
+            code = queries.codes(parted(b.column(0)[i]))
             df[code[code >= 0]] += np.frombuffer(b.column(1)[i].as_buffer(), np.int32)[code >= 0]
     has = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(df[has])], ["id", "df"])
@@ -195,7 +209,7 @@ def frequencies(batches: Iterator[pa.RecordBatch], queries: Queries) -> Iterator
 def _answer(index: DataFrame, total: tuple[int, float], rows: list, k: int) -> DataFrame:
     spark, (n, mean) = index.sparkSession, total
     queries = Queries([r["text"] for r in rows])
-    found = index.select("terms", "found").mapInArrow(lambda bs: frequencies(bs, queries), "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect()  # at most the queries' vocabulary
+    found = index.select("terms", "found").mapInArrow(lambda bs: trimmed(frequencies(bs, queries)), "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect()  # at most the queries' vocabulary
     df = np.zeros(max(len(queries.vocabulary), 1))
     for r in found:
         df[r["id"]] = r["df"]
@@ -203,11 +217,11 @@ def _answer(index: DataFrame, total: tuple[int, float], rows: list, k: int) -> D
 
     out = "query int, doc_id long, score long"
     rank = lambda: F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").isNull(), "doc_id"))
-    seeds = index.mapInArrow(lambda bs: search(bs, queries, idf, mean, k, None), out)
+    seeds = index.mapInArrow(lambda bs: trimmed(search(bs, queries, idf, mean, k, None)), out)
     floors = np.zeros(len(rows), np.int64)
     for r in seeds.withColumn("nth", rank()).where(F.col("nth") == k).collect():  # one row a query
         floors[r["query"]] = r["score"]
-    hits = index.mapInArrow(lambda bs: search(bs, queries, idf, mean, k, floors), out).withColumn("rank", rank()).where(F.col("rank") <= k)
+    hits = index.mapInArrow(lambda bs: trimmed(search(bs, queries, idf, mean, k, floors)), out).withColumn("rank", rank()).where(F.col("rank") <= k)
     names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], "query int, item_id long")
     return hits.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", F.col("score").alias("score_e6"))
 
@@ -232,7 +246,7 @@ def top_k(
     out = spark.createDataFrame([], "item_id long, rank int, doc_id long, score_e6 long")
     if not parts:
         return out
-    index = work.write(slim.mapInArrow(index_blocks, INDEX), "index")
+    index = work.write(slim.mapInArrow(lambda bs: trimmed(index_blocks(bs)), INDEX), "index")
     total = index.agg(F.sum("many").alias("n"), F.sum("total").alias("size")).first()
     if not total["n"]:
         return out
