@@ -3,8 +3,8 @@
 Of the suffix array only the order through the first ``window`` words is needed: suffixes that agree that far are the
 repeated windows. Every word starts a suffix. Suffixes go to hash ranges by their window's minimizer, the least hash of its
 runs of a few words, so equal windows meet, and neighbours that share a minimizer travel as one run with its words once.
-In a range the words are coded by a dictionary, and a pass for each word of depth, most significant first, splits the groups
-by that word's code; a suffix alone in its group is dropped at once, so later passes see few, and groups that a word doesn't
+In a range the words are coded by a dictionary, and a pass for each two words of depth, most significant first, splits the
+groups by those words' codes; a suffix alone in its group is dropped at once, so later passes see few, and groups that a pass doesn't
 split aren't sorted again. The groups left after the last pass are equal windows, word by word. Hashes only route.
 
 Hot passages: a task's equal runs are combined before the shuffle, as only the first of them can be the first of all. A
@@ -30,7 +30,8 @@ HOT = 20_000  # runs of a minimizer that is split
 SAMPLE = 64  # one row of so many is looked at for such minimizers
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-_FLUSH = 2 << 20  # suffixes
+_FLUSH = 1 << 20  # suffixes
+RANGE = 6 << 20  # bytes of text a hash range, whose runs have some three times as many
 _COLS = ("docs", "none", "texts", "run_doc", "run_start", "run_size", "run_kind", "run_bytes")
 _KINDS = (np.int64, np.uint8, np.int64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32)  # a run may be as long as its text
 PACKED = "bucket int, " + ", ".join(f"{c} binary" for c in (*_COLS, "words"))
@@ -60,6 +61,22 @@ def least_within(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[size - 1 : size - 1 + n])
 
 
+def pick(data: np.ndarray, begin: np.ndarray, many: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Stretches of bytes one after another, some ``most`` bytes at a time, as their places take more memory than they do."""
+    upto = np.cumsum(many)
+    out = np.empty(int(upto[-1]) if len(upto) else 0, np.uint8)
+    cut = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(many)]
+    kind = np.int32 if len(data) < 1 << 30 else np.int64
+    for a, b in zip(cut, cut[1:]):
+        n = many[a:b]
+        to = np.cumsum(n)
+        at = np.repeat((begin[a:b] - to + n).astype(kind), n)
+        at += np.arange(len(at), dtype=kind)
+        lo = int(upto[a] - many[a]) if b > a else 0
+        out[lo : lo + len(at)] = data[at]
+    return out
+
+
 class Runs:
     """Runs of neighbouring windows with one minimizer in a batch of texts: text, place, windows, minimizer and bytes of each."""
 
@@ -89,7 +106,7 @@ class Runs:
     def bytes(self) -> tuple[np.ndarray, np.ndarray]:
         """The runs' words, with the white space between them, run after run, and the bytes of each run."""
         n = self.end - self.begin
-        return self.data[np.repeat(self.begin - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+        return pick(self.data, self.begin, n), n
 
 
 def pack(batches: Iterator[pa.RecordBatch], window: int, ranges: int, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -121,16 +138,15 @@ def pack(batches: Iterator[pa.RecordBatch], window: int, ranges: int, hot: np.nd
             own = order[a:b]
             used, back = np.unique(doc[own], return_inverse=True)
             with_words = own[kind[own] != _KNOWN]
-            n = many[with_words]
-            said = data[np.repeat(at[with_words] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
+            said = pick(data, at[with_words], many[with_words]).tobytes()
             values = (ids[used], none[used], texts[used], back, start[own], size[own], kind[own], np.where(kind[own] == _KNOWN, 0, many[own]))
             rows.append((int(bucket[own[0]]), *(v.astype(k).tobytes() for v, k in zip(values, _KINDS)), codec.compress(said, asbytes=True)))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["bucket", *_COLS, "words"])
 
     count = docs = 0
     for b in batches:
-        for part in slices(b, 1):
-            runs = Runs(part.column(1), window, hot)
+        for part in slices(b, 1, 4 << 20):
+            runs = Runs(part.column(1), window, hot)  # of some bytes of text at a time
             if not len(runs.doc):
                 continue
             ids = part.column(0)
@@ -157,13 +173,15 @@ def minimizers(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
 def equal_groups(codes: np.ndarray, at: np.ndarray, flagged: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes whose first ``window`` words another one has too, or that are flagged, group by group, and the group of each.
 
-    A suffix is the place of its first word among the words' codes. A pass for each word, the first first, sorts within groups.
+    A suffix is the place of its first word among the words' codes. A pass for each two words, the first first, sorts within groups.
     """
     own, group = np.arange(len(at)), np.zeros(len(at), np.int64)
     alone: list[np.ndarray] = []
     wide = int(codes.max(initial=0)) + 1
-    for depth in range(window):
+    for depth in range(0, window, 2):
         digit = codes[at[own] + depth].astype(np.int64)
+        if depth + 1 < window:
+            digit = digit * wide + codes[at[own] + depth + 1]
         head = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
         many = np.diff(np.append(head, len(group)))
         differs = digit != np.repeat(digit[head], many)
@@ -171,7 +189,7 @@ def equal_groups(codes: np.ndarray, at: np.ndarray, flagged: np.ndarray, window:
             continue
         split = np.repeat(np.logical_or.reduceat(differs, head), many) if len(head) else differs
         some = np.flatnonzero(split)
-        order = some[np.argsort(group[some] * wide + digit[some])]
+        order = some[np.lexsort((digit[some], group[some]))] if depth else some[np.argsort(digit[some])]
         own[some], digit[some] = own[order], digit[order]  # groups keep their places
         new = np.append(True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1]))[: len(group)]
         group = np.cumsum(new) - 1
@@ -205,11 +223,14 @@ def repeated_runs(batches: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
     doc, start, size, kind, many = doc[fresh_], start[fresh_], size[fresh_], kind[fresh_], many[fresh_]
     at = np.append(0, np.cumsum(many, dtype=np.int64))
     words = Words(pa.Array.from_buffers(pa.large_string(), len(many), [None, pa.py_buffer(at), pa.py_buffer(b"".join(said))]))
+    del said
     codes = words.array().dictionary_encode().indices.to_numpy() if len(words.starts) else np.zeros(0, np.int32)
+    at = words.first
+    del words
     run = np.repeat(np.arange(len(size)), size)
     nth = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-    own, group = equal_groups(codes, words.first[run] + nth, (kind == _AGAIN)[run], window)
-    del codes, words, said
+    own, group = equal_groups(codes, at[run] + nth, (kind == _AGAIN)[run], window)
+    del codes
     run, nth = run[own], nth[own]
     again, place = kind[run] == _AGAIN, start[run] + nth
     a, z, t = ids[doc[run]], none[doc[run]], texts[doc[run]]
@@ -246,7 +267,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     """
     if window < 2:
         raise ValueError("a window has two words or more")
-    ranges = buckets(docs, text)
+    ranges = buckets(docs, text, RANGE)
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("h")).where("t IS NOT NULL")
     look = slim.where(F.pmod(F.xxhash64("d", "h", F.monotonically_increasing_id()), F.lit(sample)) == 0).select("t")
     found = look.mapInArrow(lambda bs: trimmed(minimizers(bs, window)), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
