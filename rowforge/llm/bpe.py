@@ -26,6 +26,7 @@ from .common import U64, buckets, slices, text_buffers, trimmed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SCHEMA = "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean"
+BLOCK = 12 << 20  # bytes of text
 LETTER, NUMBER, SPACE, OTHER = range(4)
 _WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 
@@ -229,9 +230,10 @@ def cut(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBat
 
     Words have their range as key, texts one of their own, below 0, with which they pass through merge().
     """
+    # the larger a block, the fewer words are sent for each text
     block, codec = TaskContext.get().partitionId() << 24, pa.Codec("zstd", compression_level=3)
     for b in batches:
-        for part in slices(b, 1):
+        for part in slices(b, 1, BLOCK):
             texts, docs = part.column(1), part.column(0)
             data, off = text_buffers(texts)
             starts = word_starts(data, off)
