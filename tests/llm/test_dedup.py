@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rowforge.llm import repeats
+from rowforge.llm import jaccard, repeats
 from rowforge.llm.exact_dedup import exact_dedup, misra_gries, prune
 from rowforge.llm.jaccard import components, jaccard_classes, merge, near_dedup, set_pairs, squeeze
 from rowforge.llm.common import Words, Workspace
@@ -145,6 +145,72 @@ def test_jaccard_edge_cases(spark):
         jaccard_classes(df, t=0)
 
 
+def groups_of_near_duplicates(seed, many):
+    """Texts of two large groups that share half of their words, with copies, texts farther off, and texts of their own."""
+    rng = random.Random(seed)
+    one, two = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    two = one[:30] + two[:30]
+    texts = [" ".join(mutate(rng, rng.choice([one, one, two]), rng.choice([0, 1, 1, 1, 2, 2, 4, 8, 16]), 300)) for _ in range(many)]
+    texts += [" ".join(one[i : i + 20]) for i in range(0, 40, 4)] + [" ".join(f"w{rng.randint(0, 300)}" for _ in range(50)) for _ in range(20)]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("t", [0.5, 0.8, 0.25])
+def test_cells(spark, monkeypatch, t):
+    """Groups so large that they are cells, of several blocks each, beside sets of no cell that they link to."""
+    monkeypatch.setattr(jaccard, "CELL", 16)
+    monkeypatch.setattr(jaccard, "_SIDE", 24)
+    texts = groups_of_near_duplicates(11, 260)
+    rows = [(i if i % 9 else None, x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    inside = jaccard.search(df, Workspace(spark, "t"), 3, t, cell=16)[1]
+    assert inside.where("b IS NULL").count() > 50
+    want = brute_classes(rows, t)
+    for most in (0, 10**8):
+        assert Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_classes(df, t=t, broadcast_bytes=most).collect()) == want
+    first = brute_classes(list(enumerate(texts)), t)
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    assert sorted(r.doc_id for r in near_dedup(df, t=t).collect()) == sorted({c for _, c, _ in first})
+
+
+@pytest.mark.parametrize("operator", [jaccard_classes])
+def test_links_of_a_large_group_take_no_row_each(spark, monkeypatch, operator):
+    """600 near duplicates, with some 180,000 links: no table written on the way has more than a few rows a text."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    texts = list(dict.fromkeys(" ".join(mutate(rng, base, 3, 10_000)) for _ in range(600)))
+    seen, write = {}, Workspace.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "write", counted)
+    assert operator(spark.createDataFrame(rows_of(texts), DOCS)).count() == (1 if operator is near_dedup else len(texts))
+    assert max(seen.values()) < 8 * len(texts)
+
+
+def test_a_cell_of_few_links_is_none(spark, monkeypatch):
+    """Texts that share all their n-grams with a long one, and few with each other, are searched for as all are."""
+    monkeypatch.setattr(jaccard, "CELL", 8)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(900)]
+    texts = [" ".join(base)] + [" ".join(base[i : i + 12]) for i in sorted(rng.sample(range(880), 160))]
+    rows = list(enumerate(texts))
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_classes(rows)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(14)
+    one, two = ([np.unique(np.append(rng.integers(0, 400, 30), np.arange(many))).astype(np.uint64) for _ in range(n)] for n, many in ((30, 9), (41, 5)))
+    got = jaccard.overlaps(one, two)
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in two] for x in one]
+    assert jaccard.overlaps(one, []).shape == (30, 0)
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)]
