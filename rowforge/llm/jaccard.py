@@ -687,8 +687,8 @@ def near_dedup(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "t
     work = Workspace(docs.sparkSession, "near")
     node, root, nth, order = fresh(docs.columns, "rf_set", "rf_root", "rf_nth", "rf_order")
     known = docs.withColumns({order: row_order(docs, [c for c in (doc_id,) if c in docs.columns]), node: F.when(F.col(f"`{text}`").isNotNull(), F.xxhash64(F.col(f"`{text}`")))})
-    pairs, sizes, copied = set_pairs(docs, work, n, t, text, broadcast_bytes=broadcast_bytes)
-    roots = classes_of(pairs, None, work)
+    pairs, inside, sizes, copied = search(docs, work, n, t, text, broadcast_bytes=broadcast_bytes, cell=CELL)
+    roots = classes_of(pairs, inside, work)
     alone = copied.join(sizes, "id").join(roots.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias("node"), F.col("id").alias("root"))
     groups = work.write(roots.unionByName(alone).select(F.col("node").alias(node), F.col("root").alias(root)).distinct(), "groups")
     if fits(groups, 32, broadcast_bytes):

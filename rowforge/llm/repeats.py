@@ -326,12 +326,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, at, 4 << 20)):
             columns = [b.column(i) for i in range(b.num_columns - 1)]
             columns[at] = cut(b.column(at), b.column(b.num_columns - 1)).cast(b.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
 
-    edited = joined.where(F.col(c).isNotNull()).mapInArrow(run, schema).where(F.col(f"`{text}`").rlike(r"[^ \t\n\f\r]"))
+    edited = joined.where(F.col(c).isNotNull()).mapInArrow(lambda bs: trimmed(run(bs)), schema).where(F.col(f"`{text}`").rlike(r"[^ \t\n\f\r]"))
     if n_chars in docs.columns:
         edited = edited.withColumn(n_chars, F.length(F.col(f"`{text}`")).cast(schema[n_chars].dataType))
     return joined.where(F.col(c).isNull()).select(*back).unionByName(edited.select(*back))

@@ -174,7 +174,7 @@ def test_cells(spark, monkeypatch, t):
     assert sorted(r.doc_id for r in near_dedup(df, t=t).collect()) == sorted({c for _, c, _ in first})
 
 
-@pytest.mark.parametrize("operator", [jaccard_classes])
+@pytest.mark.parametrize("operator", [jaccard_classes, near_dedup])
 def test_links_of_a_large_group_take_no_row_each(spark, monkeypatch, operator):
     """600 near duplicates, with some 180,000 links: no table written on the way has more than a few rows a text."""
     rng = random.Random(12)
