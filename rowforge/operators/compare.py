@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import as_text, no_nan
-from ..sources.rows import ROW
+from ..sources.rows import ROW, beside
 from .report import format_seconds, format_tokens, number
 
 log = logging.getLogger("rowforge")
@@ -77,13 +77,13 @@ def align(a: DataFrame, b: DataFrame, key: str | None = None) -> tuple[DataFrame
         else:
             log.warning("%r isn't unique on both sides; rows are compared by their place", key)
     x, y = (d.select(F.col(f"`{on}`").alias("__rf_on"), F.struct("*").alias(n)) for d, n in ((a, "a"), (b, "b")))
-    return x.join(y, "__rf_on").select("a", "b"), mode
+    return beside(x, y, "__rf_on").select("a", "b"), mode
 
 
 def unmatched(a: DataFrame, b: DataFrame, key: str) -> tuple[int, int]:
     """Rows of each side whose key the other lacks."""
     x, y = a.select(key), b.select(key)
-    return x.join(y, key, "left_anti").count(), y.join(x, key, "left_anti").count()
+    return beside(x, y, key, "left_anti").count(), beside(y, x, key, "left_anti").count()
 
 
 def differs(a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:

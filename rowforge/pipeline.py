@@ -38,7 +38,7 @@ from .operators.steps import ExprStep, LLMStep, StepContext
 from .plans import dag
 from .sources.cache import CacheTable
 from .sources.checkpoint import Checkpoints, content_digest
-from .sources.rows import ROW, numbered, to_frame
+from .sources.rows import ROW, beside, numbered, to_frame
 from .sources.workspace import Workspace, delete, hadoop_path, stored
 from .types import BatchRequest, CostSummary, StepUsage
 
@@ -302,7 +302,7 @@ class _Run:
         rows, steps = retry or (None, None)
         for n, table in prior.items():
             c = self.col[n]
-            frame = frame.join(table.select(ROW, F.col("step").alias(c)), ROW, "left")
+            frame = beside(frame, table.select(ROW, F.col("step").alias(c)), ROW, "left")
             self.done.append(n)
             self.types[n] = {f.name: f.dataType for f in table.schema["step"].dataType["values"].dataType}
             self.parsed[n] = self.json_fields(n)
@@ -556,13 +556,13 @@ class _Run:
         if store:
             known = store.live(step.name).select(F.col("key").alias(key), F.struct("value", "present").alias(hit))
             once = asked.groupBy(key).agg(F.min(ROW).alias(first))  # combined before the shuffle, so a hot key is no burden
-            once = self.work.write(once.join(known, key, "left"), "looked")
+            once = self.work.write(beside(once, known, key, "left"), "looked")
         else:
             once = asked.select(key, F.col(ROW).alias(first), none)
         bare = copy.copy(step)
         bare.run_if = bare.skip_if = None  # told already
         missing = once.where(F.col(hit).isNull()).select(F.col(first).alias(ROW), key)
-        todo = frame.select(ROW, *reads).join(missing, ROW)
+        todo = beside(frame.select(ROW, *reads), missing)
         made = self.batched(todo, bare, [ROW, key]) if batch else self.kernel(todo, [bare], [ROW, key])
         made = self.work.write(made.select(key, F.col(ROW).alias(first), c), "made")
         target = made.schema[c].dataType
@@ -586,9 +586,9 @@ class _Run:
         found = made.select(key, first, c)
         if store:
             found = found.unionByName(once.where(F.col(hit).isNotNull()).select(key, F.lit(None).cast("long").alias(first), from_hit.alias(c)))
-        cells = asked.join(found, key).select(ROW, F.when(F.col(first).isNull() | (F.col(ROW) == F.col(first)), res).otherwise(shared).alias(c))
+        cells = beside(asked, found, key).select(ROW, F.when(F.col(first).isNull() | (F.col(ROW) == F.col(first)), res).otherwise(shared).alias(c))
         cells = cells.unionByName(told.where(stopped.isNotNull()).select(ROW, skipped.alias(c)))
-        return self.settle(frame.join(cells, ROW, "left").select(*[F.col(f"`{x}`") for x in frame.columns], c), [step.name])
+        return self.settle(beside(frame, cells, ROW, "left").select(*[F.col(f"`{x}`") for x in frame.columns], c), [step.name])
 
     def _gate(self, frame: DataFrame, step: Any, name: str, carry: list[str]) -> tuple[Any, T.StructType]:
         """A job that tests the predicate alone: beside ``carry``, null for rows that are to run, else what they get."""
@@ -648,7 +648,7 @@ class _Run:
         if replies is None:
             replies = self.spark.createDataFrame([], kind)
         reply = "__rf_reply"
-        with_reply = frame.join(replies.select(ROW, F.struct("content", "usage").alias(reply)), ROW, "left")
+        with_reply = beside(frame, replies.select(ROW, F.struct("content", "usage").alias(reply)), ROW, "left")
         inner = T.StructType([with_reply.schema[x] for x in carry]).add(self.col[step.name], schema[self.col[step.name]].dataType)
         finish = Kernel([_Reply(step)], {step.name: self.types[step.name]}, read, [*self.input, reply], ROW, config, {step.name: {}}, run.workers, self.capture, to_arrow_schema(inner), self.parsed, carry)
         return with_reply.coalesce(self._tasks([step])).mapInArrow(finish, inner)

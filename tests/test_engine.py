@@ -21,7 +21,7 @@ from rowforge.operators.steps import StepContext
 from rowforge.providers.base import EchoClient
 from rowforge.sources.cache import CacheTable
 from rowforge.sources.checkpoint import Checkpoints
-from rowforge.sources.workspace import stored
+from rowforge.sources.workspace import Workspace, stored
 
 OFF = EnrichmentConfig(enable_caching=False)
 
@@ -208,3 +208,27 @@ def test_mixed_numbers_compare_exactly(spark):
     pairs = [("a", "b"), ("a", "c"), ("c", "d"), ("c", "e")]
     got = df.select(*[differs(F.col(x), F.col(y), kind[x], kind[y]).alias(x + y) for x, y in pairs]).collect()
     assert [tuple(r) for r in got] == [(True, True, False, False), (False, True, True, False)]
+
+
+def test_tables_of_rows_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Step tables are small files of equal cells, but not small in the driver's memory."""
+    plans, write = [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, *a, **kw: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(self, df, *a, **kw))[1])
+    config = EnrichmentConfig(enable_caching=False, enable_checkpointing=True, checkpoint_dir=str(tmp_path))
+
+    def steps(bad):
+        def a(c):
+            if c.row["i"] == bad:
+                raise ValueError("no")
+            return {"a": c.row["i"]}
+
+        return Pipeline([FunctionStep("a", a, {"a": "bigint"}), FunctionStep("b", lambda c: {"b": c.prior_results.get("a")}, {"b": "bigint"}, depends_on=["a"])])
+
+    rows = spark.range(50).withColumnRenamed("id", "i")
+    steps(7).run(rows, config, row_key="i", data_identifier="x")
+    r = steps(None).retry_failed(rows, config, row_key="i", data_identifier="x")
+    assert {(x.i, x.a, x.b) for x in r.data.collect()} == {(i, i, i) for i in range(50)}
+    cached = EnrichmentConfig(cache_dir=str(tmp_path / "cache"))
+    for _ in range(2):
+        assert steps(None).run(rows, cached, row_key="i").data.where("a = i AND b = i").count() == 50
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
