@@ -11,9 +11,11 @@ from __future__ import annotations
 import asyncio
 import copy
 import hashlib
+import json
 import logging
 import re
 import time
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -44,6 +46,10 @@ from .types import BatchRequest, CostSummary, StepUsage
 
 log = logging.getLogger("rowforge")
 TOKENS = ("prompt_tokens", "completion_tokens", "total_tokens", "cache_write_tokens", "cache_read_tokens")
+_USAGE = ("prompt_tokens", "completion_tokens", "total_tokens", "model", "cache_write_tokens", "cache_read_tokens")
+_REPLIES = T.StructType([T.StructField(ROW, T.LongType()), T.StructField("content", T.StringType()), T.StructField("usage", T.StructType([T.StructField(n, T.StringType() if n == "model" else T.LongType()) for n in _USAGE]))])
+_HELD, _HELD_CHARS = 50_000, 16 << 20  # replies that the driver holds before they are written, beside a chunk's, and their length
+_PIECE, _PIECES = 4 << 20, 8 << 20  # characters of requests packed at a time, and compressed bytes that the driver takes at a time
 
 
 @dataclass
@@ -586,7 +592,9 @@ class _Run:
         found = made.select(key, first, c)
         if store:
             found = found.unionByName(once.where(F.col(hit).isNotNull()).select(key, F.lit(None).cast("long").alias(first), from_hit.alias(c)))
-        cells = beside(asked, found, key).select(ROW, F.when(F.col(first).isNull() | (F.col(ROW) == F.col(first)), res).otherwise(shared).alias(c))
+            cells = beside(asked, found, key).select(ROW, F.when(F.col(first).isNull() | (F.col(ROW) == F.col(first)), res).otherwise(shared).alias(c))
+        else:  # each row was its own key's only one
+            cells = found.select(F.col(first).alias(ROW), c)
         cells = cells.unionByName(told.where(stopped.isNotNull()).select(ROW, skipped.alias(c)))
         return self.settle(beside(frame, cells, ROW, "left").select(*[F.col(f"`{x}`") for x in frame.columns], c), [step.name])
 
@@ -606,35 +614,60 @@ class _Run:
         read = {d: self.col[d] for d in step.depends_on}
         make = _Requests(step, run, read)
         asked = self.work.write(frame.mapInArrow(make, f"{ROW} long, messages string"), "requests")
+        pieces = self.packed(asked)
         client = step.resolve_client()
         loop = asyncio.new_event_loop()
         sent: list[str] = []
-        replies: DataFrame | None = None
-        kind = f"{ROW} long, content string, usage struct<prompt_tokens:long,completion_tokens:long,total_tokens:long,model:string,cache_write_tokens:long,cache_read_tokens:long>"
-        import json
+        parts: list[str] = []
 
         try:
             _, call = step.build_messages(StepContext({}, {}, {}, config))
             chunk: list[BatchRequest] = []
+            number, same = None, {}
 
             def submit() -> None:
                 if chunk:
                     sent.append(loop.run_until_complete(client.submit_batch(list(chunk))))
                     chunk.clear()
+                    same.clear()
 
-            for r in asked.orderBy(ROW).toLocalIterator():  # the provider takes requests from one place; no more than a chunk is held
-                chunk.append(BatchRequest(f"row-{r[ROW]}", json.loads(r["messages"]), step.model, call["temperature"], call["max_tokens"], step.response_format, step.provider_kwargs))
-                if len(chunk) >= config.batch_max_requests:
+            for r in pieces.toLocalIterator():  # the provider takes requests from one place; no more than a chunk is held
+                if r["chunk"] != number:
                     submit()
+                    number = r["chunk"]
+                for i, messages in zip(r["ids"], json.loads(zlib.decompress(r["piece"]))):
+                    for m in messages:  # the same text, such as the system's half, is held once
+                        m["content"] = same.setdefault(m["content"], m["content"])
+                    chunk.append(BatchRequest(f"row-{i}", messages, step.model, call["temperature"], call["max_tokens"], step.response_format, step.provider_kwargs))
             submit()
 
-            async def all_polled() -> list[Any]:
-                return await asyncio.gather(*[client.poll_batch(b, config.batch_poll_interval, config.batch_timeout) for b in sent])
-
-            for got in loop.run_until_complete(all_polled()):  # chunks are waited for together
-                rows = [(int(k[4:]), v.content, v.usage and tuple(getattr(v.usage, n) for n in ("prompt_tokens", "completion_tokens", "total_tokens", "model", "cache_write_tokens", "cache_read_tokens"))) for k, v in got.responses.items()]
-                part = self.work.write(self.spark.createDataFrame(rows, kind), "replies")
-                replies = part if replies is None else replies.unionByName(part)
+            async def polled(some: list[str]) -> list[Any]:
+                return await asyncio.gather(*[client.poll_batch(b, config.batch_poll_interval, config.batch_timeout) for b in some])
+
+            held: list[tuple[int, Any]] = []
+            weight = 0
+
+            def keep() -> None:
+                if held:
+                    usage = [v.usage and {n: getattr(v.usage, n) for n in _USAGE} for _, v in held]
+                    rows = pa.table([pa.array([i for i, _ in held], pa.int64()), pa.array([v.content for _, v in held], pa.string()), pa.array(usage, to_arrow_schema(_REPLIES).field("usage").type)], list(_REPLIES.names))
+                    self.work.write(self.spark.createDataFrame(rows, _REPLIES), "replies")
+                    parts.append(self.work.tables[-1])
+                    held.clear()
+
+            few = max(1, _HELD // config.batch_max_requests)
+            for at in range(0, len(sent), few):  # all have been sent, so those that are asked for late are waited for together with these
+                results = loop.run_until_complete(polled(sent[at : at + few]))
+                while results:
+                    got = results.pop(0).responses
+                    while got:
+                        k, v = got.popitem()
+                        held.append((int(k[4:]), v))
+                        weight += len(v.content)
+                        if len(held) >= _HELD or weight >= _HELD_CHARS:
+                            keep()
+                            weight = 0
+            keep()
         except BaseException:
             for b in sent:
                 try:
@@ -645,14 +678,25 @@ class _Run:
         finally:
             loop.close()
         self.batches[step.name] = sent[0] if sent else ""
-        if replies is None:
-            replies = self.spark.createDataFrame([], kind)
+        replies = self.spark.read.schema(_REPLIES).parquet(*parts) if parts else self.spark.createDataFrame([], _REPLIES)
         reply = "__rf_reply"
         with_reply = beside(frame, replies.select(ROW, F.struct("content", "usage").alias(reply)), ROW, "left")
         inner = T.StructType([with_reply.schema[x] for x in carry]).add(self.col[step.name], schema[self.col[step.name]].dataType)
         finish = Kernel([_Reply(step)], {step.name: self.types[step.name]}, read, [*self.input, reply], ROW, config, {step.name: {}}, run.workers, self.capture, to_arrow_schema(inner), self.parsed, carry)
         return with_reply.coalesce(self._tasks([step])).mapInArrow(finish, inner)
 
+    def packed(self, asked: DataFrame) -> DataFrame:
+        """Requests in the order of rows, (chunk, first, ids, piece) for some of a chunk at a time; a partition has a few MB."""
+        place = "__rf_place"
+        kept = self.work.write(asked.orderBy(ROW).withColumn(place, F.monotonically_increasing_id()), "ordered")
+        starts, at = {}, 0
+        for part, n in sorted(kept.groupBy(F.shiftright(place, 33)).count().collect()):
+            starts[part] = at
+            at += n
+        pieces = self.work.write(kept.mapInArrow(_Pack(starts, place, self.config.batch_max_requests), "chunk long, first long, ids array<long>, piece binary"), "pieces")
+        size = pieces.agg(F.sum(F.length("piece") + 8 * F.size("ids"))).first()[0] or 0
+        return pieces.repartitionByRange(size // _PIECES + 1, "first").sortWithinPartitions("first")
+
     # -- what is told of a run
 
     def usage(self, frame: DataFrame, only: list[str] | None = None) -> CostSummary:
@@ -758,6 +802,36 @@ class _Requests:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], [ROW, "messages"])
 
 
+class _Pack:
+    """Ordered requests as compressed pieces, none with requests of two chunks."""
+
+    def __init__(self, starts: dict[int, int], place: str, most: int):
+        self.starts, self.place, self.most = starts, place, most
+
+    def __call__(self, batches: Any) -> Any:
+        ids: list[int] = []
+        texts: list[str] = []
+        first = size = 0
+
+        def piece() -> pa.RecordBatch:
+            made = [[first // self.most], [first], [ids], [zlib.compress(f"[{','.join(texts)}]".encode(), 1)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["chunk", "first", "ids", "piece"])
+
+        for b in batches:
+            for i, text, p in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in (ROW, "messages", self.place))):
+                at = self.starts[p >> 33] + (p & ((1 << 33) - 1))
+                if ids and (at != first + len(ids) or at % self.most == 0 or size >= _PIECE):
+                    yield piece()
+                    ids, texts, size = [], [], 0
+                if not ids:
+                    first = at
+                ids.append(i)
+                texts.append(text)
+                size += len(text)
+        if ids:
+            yield piece()
+
+
 def _missing(step: str, name: str) -> Column:
     raise PipelineError(f"step {step!r} reads {name!r}, which neither the input nor a direct dependency has")
 

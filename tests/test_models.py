@@ -202,3 +202,35 @@ def test_manifest():
     m = build_manifest(p, EnrichmentConfig())
     assert [f["type"] for f in m["fields"]] == ["enum", "float", "unknown"] and m["steps"][0]["model"]["provider"] == "anthropic" and m["steps"][1]["system_prompt"] is None
     assert provider("m", "https://openrouter.ai/api") == "openrouter" and provider("gemini-2", None) == "google"
+
+
+def test_batches_hold_a_chunk_on_the_driver(spark, monkeypatch):
+    """Requests come in pieces, replies are read from few tables, and the client that executors get has no batches."""
+    from rowforge import pipeline
+
+    monkeypatch.setattr(pipeline, "_HELD", 10)
+    monkeypatch.setattr(pipeline, "_PIECES", 1)
+    written, most, write = [], [0], pipeline.Workspace.write
+
+    def note(self, df, name="table", *a):
+        written.append(name)
+        return write(self, df, name, *a)
+
+    monkeypatch.setattr(pipeline.Workspace, "write", note)
+
+    class Counted(EchoClient):
+        async def submit_batch(self, requests, metadata=None):
+            assert [r.custom_id for r in requests] == [f"row-{3 * len(getattr(self, 'held', {})) + i}" for i in range(len(requests))]
+            return await super().submit_batch(requests, metadata)
+
+        async def poll_batch(self, batch_id, poll_interval=60.0, timeout=86400.0):
+            most[0] += 1
+            return await super().poll_batch(batch_id)
+
+    client = Counted(lambda row: {"y": row["i"] * 2}, 1, 1)
+    s = LLMStep("s", {"y": {"prompt": "y", "type": "Number"}}, client=client, structured_outputs=True, batch=True, inputs=["i"])
+    rows = spark.range(100, numPartitions=3).orderBy("id", ascending=False).withColumnRenamed("id", "i")
+    r = Pipeline([s]).run(rows, EnrichmentConfig(enable_caching=False, batch_max_requests=3), row_key="i")
+    assert {x.i: x.y for x in r.data.collect()} == {i: 2.0 * i for i in range(100)} and r.cost.steps["s"].prompt_tokens == 100
+    assert [len(x) for x in client.held.values()] == [3] * 33 + [1] and most[0] == 34 and written.count("replies") <= 10
+    assert [q.custom_id for q in client.held["batch-1"]] == ["row-3", "row-4", "row-5"] and "held" not in client.__getstate__()
