@@ -62,14 +62,17 @@ def system_half(specs: dict[str, FieldSpec], custom: str | None = None, header:
     return f"{head}\n\n" + "\n".join([*lines, "</field_specifications>"])
 
 
+_as_json = json.JSONEncoder(default=str).encode  # made once, as a row's prompt costs little else
+
+
 def reminder(names: list[str]) -> str:
     return f"# Reminder\nOnly the JSON object, with the keys: {', '.join(names)}."
 
 
 def user_half(names: list[str], row: dict[str, Any], prior: dict[str, Any] | None) -> str:
-    parts = [f"<row_data>\n{json.dumps(row, default=str)}\n</row_data>"]
+    parts = [f"<row_data>\n{_as_json(row)}\n</row_data>"]
     if prior:
-        parts.append(f"<prior_results>\n{json.dumps(prior, default=str)}\n</prior_results>")
+        parts.append(f"<prior_results>\n{_as_json(prior)}\n</prior_results>")
     return "\n\n".join([*parts, TASK, reminder(names)])
 
 

@@ -13,6 +13,7 @@ from ..types import FieldSpec
 from .text import REFUSALS
 
 _TRUE, _FALSE = {"true", "t", "yes", "y", "on", "1"}, {"false", "f", "no", "n", "off", "0"}
+_WORDS = _TRUE | _FALSE
 _NUMBER = re.compile(r"\s*[+-]?(\d+(_\d+)*\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf(inity)?|nan)\s*", re.I)
 
 
@@ -22,13 +23,14 @@ class ValidationError(ValueError):
 
 def canonical(value: Any) -> str:
     """JSON with sorted keys and no spaces; what JSON lacks becomes text."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), default=str)
+    return _canonical(value)
 
 
-def coerce(name: str, value: Any, spec: FieldSpec) -> Any:
-    def no(what: str) -> ValidationError:
-        return ValidationError(f"{name}: {what}, not {value!r}")
+_canonical = json.JSONEncoder(sort_keys=True, separators=(",", ":"), default=str).encode
+
 
+def coerce(name: str, value: Any, spec: FieldSpec) -> Any:
+    no = lambda what: ValidationError(f"{name}: {what}, not {value!r}")
     if spec.enum:
         if value not in spec.enum or not isinstance(value, str):
             raise no(f"one of {', '.join(spec.enum)}")
@@ -48,7 +50,7 @@ def coerce(name: str, value: Any, spec: FieldSpec) -> Any:
             return value
         if isinstance(value, (int, float)) and value in (0, 1):
             return bool(value)
-        if isinstance(value, str) and value.lower() in _TRUE | _FALSE:
+        if isinstance(value, str) and value.lower() in _WORDS:
             return value.lower() in _TRUE
         raise no("a boolean")
     if spec.type == "List[String]":

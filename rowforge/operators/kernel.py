@@ -33,6 +33,7 @@ USAGE = T.StructType([*[T.StructField(n, T.LongType()) for n in _TOKENS], T.Stru
 ATTEMPT = T.StructType(
     [T.StructField("attempt", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("status", T.StringType()), T.StructField("latency_ms", T.DoubleType()), T.StructField("backoff_s", T.DoubleType()), T.StructField("error", ERROR), T.StructField("body", T.StringType())]
 )
+_PLAIN = frozenset((str, int, bool, type(None)))
 QUICK_S = 0.0005  # a plain function faster than that gains nothing from threads
 
 
@@ -49,6 +50,8 @@ def step_type(values: dict[str, T.DataType]) -> T.StructType:
 
 def tidy(value: Any) -> Any:
     """NaN and the infinities as null, at any depth."""
+    if type(value) in _PLAIN:
+        return value
     if isinstance(value, float):
         return value if math.isfinite(value) else None
     if isinstance(value, dict):
@@ -198,8 +201,9 @@ class Kernel:
         """Rows as dicts, their numbers, and what earlier steps gave them."""
         names = b.schema.names
         columns = [c for c in columns if c in names]
-        values = [b.column(names.index(c)).to_pylist() for c in columns]
-        rows = [dict(zip(columns, map(tidy, v))) for v in zip(*values)] if columns else [{} for _ in range(b.num_rows)]
+        values = [b.column(names.index(c)) for c in columns]
+        values = [v.to_pylist() if pa.types.is_integer(v.type) or pa.types.is_string(v.type) else list(map(tidy, v.to_pylist())) for v in values]
+        rows = [dict(zip(columns, v)) for v in zip(*values)] if columns else [{} for _ in range(b.num_rows)]
         held = {n: b.column(names.index(c)).to_pylist() for n, c in self.columns.items() if c in names}
         for n, fields in self.parsed.items():
             for cell in held.get(n, ()) if fields else ():

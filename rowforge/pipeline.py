@@ -462,8 +462,15 @@ class _Run:
 
     def kernel(self, frame: DataFrame, steps: list[Any], carry: list[str] | None = None) -> DataFrame:
         run, schema = self._make(frame, steps, carry)
+        return self.dealt(frame, steps).mapInArrow(run, schema)
+
+    def dealt(self, frame: DataFrame, steps: list[Any]) -> DataFrame:
+        """The frame's rows dealt evenly to as many tasks as may run the steps.
+
+        Merely to unite partitions gives some tasks twice the rows of others, and what is read as fewer partitions leaves tasks idle.
+        """
         tasks = self._tasks(steps)
-        return (frame.coalesce(tasks) if tasks else frame).mapInArrow(run, schema)
+        return frame.repartition(tasks, ROW) if tasks else frame
 
     def columnwise(self, frame: DataFrame, step: Any, run: Callable[[DataFrame, Any], DataFrame]) -> DataFrame:
         """A step whose predicate is a Column: rows that it skips are told apart by Spark and never reach Python."""
@@ -683,7 +690,7 @@ class _Run:
         with_reply = beside(frame, replies.select(ROW, F.struct("content", "usage").alias(reply)), ROW, "left")
         inner = T.StructType([with_reply.schema[x] for x in carry]).add(self.col[step.name], schema[self.col[step.name]].dataType)
         finish = Kernel([_Reply(step)], {step.name: self.types[step.name]}, read, [*self.input, reply], ROW, config, {step.name: {}}, run.workers, self.capture, to_arrow_schema(inner), self.parsed, carry)
-        return with_reply.coalesce(self._tasks([step])).mapInArrow(finish, inner)
+        return self.dealt(with_reply, [step]).mapInArrow(finish, inner)
 
     def packed(self, asked: DataFrame) -> DataFrame:
         """Requests in the order of rows, (chunk, first, ids, piece) for some of a chunk at a time; a partition has a few MB."""

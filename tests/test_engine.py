@@ -232,3 +232,33 @@ def test_tables_of_rows_are_never_broadcast(spark, tmp_path, monkeypatch):
     for _ in range(2):
         assert steps(None).run(rows, cached, row_key="i").data.where("a = i AND b = i").count() == 50
     assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_model_steps_share_rows_evenly(spark):
+    """Whatever the input's partitions; the prompt's half that all rows share is made once a task."""
+    from pyspark import TaskContext
+
+    from rowforge.operators import steps
+
+    half = steps.system_half
+
+    def counted(*a):
+        made.append(1)
+        return half(*a)
+
+    made = []
+    s = LLMStep("s", {"task": {"prompt": "p", "type": "Number"}}, client=EchoClient(lambda row: {"task": TaskContext.get().partitionId()}), structured_outputs=True, inputs=["i"])
+    for parts in (1, 7):
+        r = Pipeline([s]).run(spark.range(4000).withColumnRenamed("id", "i").coalesce(1).repartition(parts), EnrichmentConfig(enable_caching=False, max_workers=4), row_key="i")
+        sizes = [x["count"] for x in r.data.groupBy("task").count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 1.2 * min(sizes)
+    messages = [s.build_messages(StepContext({"i": i}, {}, {}))[0] for i in range(3)]
+    steps.system_half = counted
+    try:
+        t = LLMStep("t", ["x"], client=EchoClient(lambda row: {}))
+        again = [t.build_messages(StepContext({"i": i}, {}, {}))[0] for i in range(3)]
+        assert len(made) == 1 and again[0][0] == again[2][0] and messages[0][1] != messages[1][1]
+        t.system_prompt = "other"
+        assert t.build_messages(StepContext({"i": 1}, {}, {}))[0][0]["content"].startswith("other")
+    finally:
+        steps.system_half = half
